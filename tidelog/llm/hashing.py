@@ -159,3 +159,17 @@ def pieces(lengths: np.ndarray, window: int, chunk: int = CHUNK):
             held += b - a
     if part:
         yield part
+
+
+def groups(lengths: list[int], most: int = 2 * CHUNK):
+    """Lists of consecutive numbers whose lengths sum up to about `most`."""
+    part: list[int] = []
+    held = 0
+    for k, n in enumerate(lengths):
+        if part and held + n > most:
+            yield part
+            part, held = [], 0
+        part.append(k)
+        held += n
+    if part:
+        yield part

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import jpeg, mixing, suffix_array, suffix_automaton
+from tidelog.llm import decontamination, jpeg, mixing, near_dedup, suffix_array, suffix_automaton
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_automaton.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.digest(_table(spark, sf_dir, "documents"))
 
@@ -29,12 +33,17 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_substring_dedup, op8_suffix_array_dedup, op9_media_columns)}
+    return {f.__name__: f for f in (op1_mixing, op3_substring_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_media_columns, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.ORACLE,
         "op3_substring_dedup": suffix_automaton.ORACLE,
+        "op7_minhash_near_dedup": near_dedup.ORACLE,
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +29,27 @@ def fresh(docs: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def filtered(docs: DataFrame, value: Column, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of `docs` that `keep` says so of, by their `value`; no shuffle, all columns stay."""
+    name = fresh(docs, "_value")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = keep(b.column(b.num_columns - 1).to_pylist())
+            yield b.select(list(range(b.num_columns - 1))).filter(pa.array(mask, pa.bool_()))
+
+    return docs.withColumn(name, value).mapInArrow(of, docs.schema)
+
+
+def replaced_text(docs: DataFrame, change: Callable[[list], list]) -> DataFrame:
+    """`docs` with `change` applied to its text column; all others stay."""
+    at = docs.columns.index("text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pa.array(change(b.column(at).to_pylist()), b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(b.num_columns)], schema=b.schema)
+
+    return docs.mapInArrow(of, docs.schema)

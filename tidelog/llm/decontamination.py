@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import hashing
-from tidelog.llm.common import column, fresh
+from tidelog.llm.common import column, filtered
 
 EDITS_PER_WORD = 5
 SHORTEST = 5
@@ -130,27 +130,41 @@ class Pieces:
                 yield best
 
 
+    def search(self, texts: list[str]) -> Iterator[tuple]:
+        """(text number, *what `verified` yields) for normal texts."""
+        raw = [t.encode() for t in texts]
+        for numbers in hashing.groups([len(t) for t in raw]):
+            joined = b"\n".join(raw[k] for k in numbers)
+            values, starts, _ = hashing.word_hashes(np.frombuffer(joined, np.uint8))
+            bound = np.searchsorted(starts, np.cumsum([len(raw[k]) + 1 for k in numbers]))
+            found: dict[int, dict[int, set[int]]] = {}
+            for item, begin, a, b in self.hits(values):
+                d = int(np.searchsorted(bound, a, side="right"))
+                if b <= bound[d]:
+                    found.setdefault(d, {}).setdefault(item, set()).add(begin - int(bound[d - 1] if d else 0))
+            for d, hits in found.items():
+                for x in self.verified(texts[numbers[d]].split(" "), hits):
+                    yield numbers[d], *x
+
+
 def _search(block: list[tuple[int | None, str]]):
     pieces = Pieces([(k, t.split()) for k, t in block])
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            texts = pdf["_words"].tolist()
-            rows = []
-            raw = [t.encode() for t in texts]
-            for numbers in hashing.groups([len(t) for t in raw]):
-                joined = b"\n".join(raw[k] for k in numbers)
-                values, starts, _ = hashing.word_hashes(np.frombuffer(joined, np.uint8))
-                bound = np.searchsorted(starts, np.cumsum([len(raw[k]) + 1 for k in numbers]))
-                found: dict[int, dict[int, set[int]]] = {}
-                for item, begin, a, b in pieces.hits(values):
-                    d = int(np.searchsorted(bound, a, side="right"))
-                    if b <= bound[d]:
-                        found.setdefault(d, {}).setdefault(item, set()).add(begin - int(bound[d - 1] if d else 0))
-                for d, hits in found.items():
-                    k = numbers[d]
-                    rows += [(pdf["_key"].iloc[k], pdf["_hash"].iloc[k], *x) for x in pieces.verified(texts[k].split(" "), hits)]
-            yield pd.DataFrame(rows, columns=["_key", "_hash", "item_id", "distance", "budget", "first", "last"]).astype({"item_id": "Int64"})
+            ids = pdf["doc_id"].tolist()
+            rows = [(ids[k], *x) for k, *x in pieces.search(pdf["words"].tolist())]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "first", "last"]).astype({"item_id": "Int64"})
+
+    return of
+
+
+def _clean(block: list[tuple[int | None, str]]):
+    pieces = Pieces([(k, t.split()) for k, t in block])
+
+    def of(texts: list[str]) -> list[bool]:
+        bad = {x[0] for x in pieces.search(texts)}
+        return [k not in bad for k in range(len(texts))]
 
     return of
 
@@ -168,36 +182,22 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
         yield block
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        column(docs, "doc_id", "string").alias("_key"), F.xxhash64(column(docs, "text", "string")).alias("_hash"), normal(column(docs, "text", "string")).alias("_words")
-    )
-
-
 def found(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, budget, first, last): each item in each document, with the words
     of the normal text between which its closest stretch lies."""
-    keyed = _keyed(docs)
-    schema = f"_key string, _hash long, {_FOUND}"
-    out = None
+    read = docs.select(column(docs, "doc_id", "string").alias("doc_id"), normal(column(docs, "text", "string")).alias("words"))
+    schema = f"doc_id string, {_FOUND}"
+    out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(benchmark, block_bytes):
-        part = keyed.mapInPandas(_search(block), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = keyed.sparkSession.createDataFrame([], schema)
-    return out.select(F.col("_key").cast("long").alias("doc_id"), "_hash", "item_id", "distance", "budget", "first", "last")
-
-
-def _contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
-    return found(docs, benchmark, block_bytes).select(F.col("doc_id").alias("_c_id"), F.col("_hash").alias("_c_hash")).distinct()
+        out = out.unionByName(read.mapInPandas(_search(block), schema))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` that hold no item."""
-    key, text = fresh(docs, "_d_id"), fresh(docs, "_d_hash")
-    keyed = docs.withColumns({key: column(docs, "doc_id", "long"), text: F.xxhash64(column(docs, "text", "string"))})
-    bad = _contaminated(docs, benchmark, block_bytes)
-    return keyed.join(bad, F.col(key).eqNullSafe(F.col("_c_id")) & (F.col(text) == F.col("_c_hash")), "left_anti").drop(key, text)
+    for block in _blocks(benchmark, block_bytes):
+        docs = filtered(docs, normal(column(docs, "text", "string")), _clean(block))
+    return docs
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ from tidelog.llm.repeats import Segments, Unit, Verdicts, removed
 
 WINDOW = 50
 GRAM = 20
+#: Segments whose suffixes are sorted at once, where no group has more.
+SEGMENTS = 2_000
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -178,6 +180,19 @@ def _laid_over(s: Segments, starts: np.ndarray, window: int, gram: int):
 
 def _index(window: int, gram: int):
     def of(segments: Segments, starts: np.ndarray) -> Verdicts:
+        # Groups are independent of each other: some at a time bound the memory.
+        ends = np.append(starts[1:], len(segments.size))
+        at = np.concatenate(([0], np.cumsum(segments.size)))
+        parts, g = [], 0
+        while g < len(starts):
+            h = max(g + 1, int(np.searchsorted(ends, starts[g] + SEGMENTS, side="right")))
+            a, b = int(starts[g]), int(ends[h - 1])
+            some = (x[a:b] for x in (segments.anchor, segments.segment, segments.offset, segments.count, segments.least, segments.times, segments.size))
+            parts.append(sorted_groups(Segments(*some, segments.text[at[a] : at[b]]), starts[g:h] - a))
+            g = h
+        return Verdicts.joined(parts)
+
+    def sorted_groups(segments: Segments, starts: np.ndarray) -> Verdicts:
         symbols, weights, owner, windows = _laid_over(segments, starts, window, gram)
         order = suffix_array(symbols)
         shared = np.array(common_prefixes(symbols.tolist(), order), np.int64)

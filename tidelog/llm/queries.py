@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontamination, jpeg, language_id, mixing, near_dedup, quality, suffix_array, suffix_automaton, toxicity
+from tidelog.llm import decontamination, jpeg, language_id, mixing, near_dedup, pii, quality, suffix_array, suffix_automaton, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_substring_dedup, op4_toxicity, op5_quality, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_media_columns, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_substring_dedup, op4_toxicity, op5_quality, op6_pii, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_media_columns, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.storage import checkpoint
+from tidelog.llm.storage import stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     stars around their least nodes.
     """
     down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = checkpoint(down.distinct())
+    edges = stored(down.distinct())
     while not _stars(edges):
-        edges = checkpoint(_small(_large(edges).distinct()).distinct())
+        edges = stored(_small(_large(edges).distinct()).distinct())
     return edges

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import hashing
 from tidelog.llm.common import column, fresh
 from tidelog.llm.components import components
-from tidelog.llm.storage import checkpoint
+from tidelog.llm.storage import stored
 
 WORDS = 4
 BANDS, ROWS = 30, 4
@@ -128,6 +128,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["u", "v"]]
 
+    # Later rounds have few pairs: only their nodes' texts are moved.
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = texts.select("node", "text").join(needed, "node", "left_semi")
     first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
     return first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b").mapInPandas(of, "u long, v long")
 
@@ -140,9 +143,9 @@ def labelled(docs: DataFrame, words: int = WORDS) -> DataFrame:
     signed = keyed.mapInPandas(lambda parts: _signed(parts, words), schema)
     # A null id's node is above all ids, and the same for equal sets.
     node = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_IDS) + F.pmod("s1", F.lit(_NULL_IDS)))
-    signed = checkpoint(signed.withColumn("node", node))
+    signed = stored(signed.withColumn("node", node))
     some = signed.filter("n > 0")
-    classes = checkpoint(some.groupBy("s1", "s2", "n").agg(
+    classes = stored(some.groupBy("s1", "s2", "n").agg(
         F.min(F.struct("node", "text_hash")).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     ).select("s1", "s2", "n", "least.node", "least.text_hash", "bands", "sketch"))
     graph = _graph(classes, read, _same_id(signed), words)
@@ -165,46 +168,48 @@ def _same_id(signed: DataFrame) -> DataFrame:
 
 def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int) -> DataFrame:
     """The components of the classes, as `components` gives them, from `links` and all similar pairs."""
-    node_text = classes.select("node", "text_hash")
+    banded = classes.select("node", F.explode("bands").alias("key"))
+    lead = banded.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last").select("key", "v")
+    # From here on only nodes that share a bucket; their texts are fetched once.
+    shared = stored(banded.join(lead, "key"))
+    nodes = shared.select("node").distinct().join(classes.select("node", "text_hash", "sketch"), "node")
     id_of = F.when(F.col("node") < _NULL_IDS, F.col("node"))
-    needed = lambda pairs: pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = checkpoint(pairs)
-        wanted = node_text.join(needed(pairs), "node").withColumn("id", id_of)
-        texts = wanted.join(
-            read.select(F.col("doc_id").alias("id_"), "text", F.xxhash64("text").alias("text_hash_")),
-            F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("text_hash_")),
-        ).select("node", "text").dropDuplicates(["node"])
-        return checkpoint(_verified(pairs, texts, words))
-
-    banded = classes.select("node", "sketch", F.posexplode("bands").alias("band", "key"))
-    lead = banded.groupBy("band", "key").agg(F.min(F.struct("node", "sketch")).alias("lead"), F.max("node").alias("last"))
-    lead = lead.filter("lead.node < last").select("band", "key", F.col("lead.node").alias("v"), F.col("lead.sketch").alias("other"))
-    near = banded.join(lead, ["band", "key"]).filter("node > v").withColumn("apart", _apart()).filter(F.col("apart") <= MOST_BITS)
-    best = near.groupBy(F.col("node").alias("u")).agg(F.min(F.struct("apart", "v")).alias("best")).select("u", "best.v")
-    graph = components(links.unionByName(verified(best)))
-
-    tried = best
+    same_text = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("text_hash_"))
+    all_texts = read.select(F.col("doc_id").alias("id_"), "text", F.xxhash64("text").alias("text_hash_"))
+    found = nodes.withColumn("id", id_of).join(all_texts, same_text)
+    # Equal rows have one text; any of them will do.
+    one = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("node"))
+    texts = stored(found.withColumn("one", one).filter("one = 1").select("node", "sketch", "text"))
+    sketches_of = texts.select("node", "sketch")
+
+    pairs = shared.filter("node > v").select(F.col("node").alias("u"), "v").distinct()
+    first_of, second_of = sketches_of.withColumnRenamed("node", "u"), sketches_of.withColumnsRenamed({"node": "v", "sketch": "other"})
+    near = pairs.join(first_of, "u").join(second_of, "v").withColumn("apart", _apart()).filter(F.col("apart") <= MOST_BITS)
+    best = near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", "best.v")
+    tried = stored(best)
+    graph = components(links.unionByName(_verified(tried, texts, words)))
+
     for only_best in (True, False):
         root = graph.withColumnsRenamed({"u": "node", "v": "root"})
-        placed = checkpoint(banded.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        placed = stored(shared.select("node", "key").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
         # What a bucket has of each component; buckets of one component are done.
-        held = placed.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("size"))
-        mixed = held.groupBy("band", "key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        members = placed.join(mixed, ["band", "key"])
-        strays = members.filter("root <> main").select("band", "key", F.col("node").alias("s"), F.col("root").alias("s_root"), F.col("sketch").alias("other"), F.col("main").alias("s_main"))
-        # A stray is paired with the main component's nodes, and once with each other stray.
-        met = members.join(strays, ["band", "key"]).filter("root <> s_root and (root = s_main or node < s)").withColumn("apart", _apart())
-        pairs = met.filter(F.col("apart") <= MOST_BITS).select(F.greatest("node", "s").alias("u"), F.least("node", "s").alias("v"), F.col("s"), F.col("root"), "apart").distinct()
+        held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+        mixed = held.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        members = placed.join(mixed.select("key", "main"), "key").join(sketches_of, "node")
+        strays = members.filter("root <> main").select("key", F.col("node").alias("s"), F.col("root").alias("s_root"), F.col("sketch").alias("other"))
+        # A stray is paired with the main component's nodes, and once with each other stray, as far
+        # as their sketches allow: the join puts out no other pairs.
+        allowed = (members["key"] == strays["key"]) & (F.col("root") != F.col("s_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("s"))) & (_apart() <= MOST_BITS)
+        met = members.join(strays, allowed).withColumn("apart", _apart())
+        pairs = met.select(F.greatest("node", "s").alias("u"), F.least("node", "s").alias("v"), "s", "root", "apart").distinct()
         pairs = pairs.join(tried, ["u", "v"], "left_anti")
         if only_best:
             first = Window.partitionBy("s", "root").orderBy("apart", "u", "v")
             pairs = pairs.withColumn("r", F.row_number().over(first)).filter("r = 1")
-        pairs = checkpoint(pairs.select("u", "v").distinct())
+        pairs = stored(pairs.select("u", "v").distinct())
         if pairs.isEmpty():
             break
-        links = verified(pairs)
+        links = stored(_verified(pairs, texts, words))
         if not links.isEmpty():
             graph = components(graph.unionByName(links))
         tried = tried.unionByName(pairs)

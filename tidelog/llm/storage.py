@@ -1,17 +1,19 @@
-"""Checkpoints in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's checkpoint folder, with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        # Only where the cluster names no folder, as in local tests.
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written below spark.checkpoint.dir and read again: its lineage is cut, and a lost executor
+    costs none of it. The files stay until the application's folder there is cleared."""
+    spark = df.sparkSession
+    # Only where the cluster names no folder, as in local tests.
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tables"
+    path = f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

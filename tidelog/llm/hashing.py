@@ -95,7 +95,8 @@ class Runs:
     """Maximal runs of windows with one anchor: their first window, count and hashes.
 
     A window's anchor is its leftmost gram of least hash, so equal windows have equal anchors at
-    equal places. The run's segment, the text that its windows cover, has the hash `segment`.
+    equal places. The run's segment, the text that its windows cover, has the hash `segment`. `hot`
+    is 1 for runs that were cut into single windows.
     """
 
     start: np.ndarray
@@ -103,12 +104,13 @@ class Runs:
     offset: np.ndarray
     anchor: np.ndarray
     segment: np.ndarray
+    hot: np.ndarray
 
     def __len__(self) -> int:
         return len(self.start)
 
     def take(self, which: np.ndarray) -> Runs:
-        return Runs(*(x[which] for x in (self.start, self.count, self.offset, self.anchor, self.segment)))
+        return Runs(*(x[which] for x in (self.start, self.count, self.offset, self.anchor, self.segment, self.hot)))
 
 
 def runs(values: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, gram: int) -> Runs:
@@ -116,7 +118,7 @@ def runs(values: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, g
     n = len(values)
     none = np.zeros(0, np.int64)
     if n < window:
-        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
     sums = prefix(values)
     at = np.arange(n - gram + 1)
     g = ranges(sums, at, at + gram)
@@ -128,13 +130,13 @@ def runs(values: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, g
     np.add.at(inside, last[long] - window + 1, -1)
     starts = np.flatnonzero(np.cumsum(inside[: len(least)]))
     if not len(starts):
-        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
     where = (least[starts] & low).astype(np.int64)
     begins = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (starts[1:] != starts[:-1] + 1))))
     count = np.diff(np.append(begins, len(starts)))
     start, anchor_at = starts[begins], where[begins]
     offset = anchor_at - start
-    return Runs(start, count, offset, g[anchor_at], segment_hash(sums, start, count, offset, window))
+    return Runs(start, count, offset, g[anchor_at], segment_hash(sums, start, count, offset, window), np.zeros(len(start), np.int64))
 
 
 def segment_hash(sums: np.ndarray, start: np.ndarray, count: np.ndarray, offset: np.ndarray, window: int) -> np.ndarray:

@@ -4,7 +4,7 @@ Both exact-substring operators share these steps; they differ in the unit (words
 the index that a shard builds.
 
 1. Rows are dealt into batches of bounded size by a hash of (doc_id, text). Each batch sends its
-   distinct window anchors, six bytes each, to buckets by hash. A bucket tells each batch which of
+   distinct window anchors, five or six bytes each, to buckets by hash. A bucket tells each batch which of
    its anchors other batches (or other occurrences) have too. Only those can lead to a repeat, for
    equal windows have equal anchors.
 2. Each batch sends the distinct segments around such anchors to shards by anchor. A shard holds all
@@ -50,10 +50,12 @@ class Unit:
 
 @dataclass
 class Segments:
-    """Distinct segments of one batch or shard. `least`: smallest doc_id; `times`: occurrences."""
+    """Distinct segments of one batch or shard. `least`: smallest doc_id; `times`: occurrences;
+    `hot`: whether it is one window of an anchor that very many batches have."""
 
     anchor: np.ndarray
     segment: np.ndarray
+    hot: np.ndarray
     offset: np.ndarray
     count: np.ndarray
     least: np.ndarray
@@ -62,18 +64,44 @@ class Segments:
     text: bytes
 
     def pack(self) -> bytes:
-        head = np.array([len(self.anchor)], np.int64).tobytes()
-        fixed = b"".join(x.astype(t).tobytes() for x, t in zip((self.anchor, self.segment, self.offset, self.count, self.least, self.times, self.size), ("<u8", "<u8", "<i4", "<i4", "<i8", "<i8", "<i8"), strict=True))
-        return zlib.compress(head + fixed + self.text, 1)
+        """Without the two hashes, which follow from the rest."""
+        head = np.array([len(self.size)], np.int64).tobytes()
+        fixed = b"".join(getattr(self, name).astype(kind).tobytes() for name, kind in _PACKED)
+        return zlib.compress(head + fixed + self.text, 4)
 
     @staticmethod
-    def unpack(packed: bytes) -> Segments:
+    def unpack(packed: bytes, unit: Unit) -> Segments:
         raw = zlib.decompress(packed)
         n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-        for t in ("<u8", "<u8", "<i4", "<i4", "<i8", "<i8", "<i8"):
-            out.append(np.frombuffer(raw, t, n, at).astype(t[1:] if t[1] == "u" else "i8"))
-            at += n * np.dtype(t).itemsize
-        return Segments(*out, raw[at:])
+        for _, kind in _PACKED:
+            out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+            at += n * np.dtype(kind).itemsize
+        text = raw[at:]
+        hot, offset, count, _, _, size = out
+        return Segments(*_hashes(text, size, hot, offset, count, unit), *out, text)
+
+
+_PACKED = (("hot", "<u1"), ("offset", "<u2"), ("count", "<u2"), ("least", "<i8"), ("times", "<i8"), ("size", "<i8"))
+
+
+def _hashes(text: bytes, size: np.ndarray, hot: np.ndarray, offset: np.ndarray, count: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, segment) hashes of packed segments."""
+    ends = np.cumsum(size).tolist()
+    anchor, segment = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    for numbers in hashing.groups(size.tolist(), hashing.CHUNK):
+        a, b = numbers[0], numbers[-1] + 1
+        buffer = np.frombuffer(b"\n".join(text[ends[k] - int(size[k]) : ends[k]] for k in numbers), np.uint8)
+        start = np.cumsum(size[a:b] + 1) - size[a:b] - 1
+        if unit.words:
+            values, words, _ = hashing.word_hashes(buffer)
+            start = np.searchsorted(words, start)
+        else:
+            values = hashing.byte_values(buffer)
+        sums = hashing.prefix(values)
+        segment[a:b] = hashing.segment_hash(sums, start, count[a:b], offset[a:b], unit.window)
+        own = hashing.ranges(sums, start + offset[a:b], start + offset[a:b] + unit.gram)
+        anchor[a:b] = np.where(hot[a:b] == 1, hashing.mixed(own ^ segment[a:b]), own)
+    return anchor, segment
 
 
 @dataclass
@@ -150,7 +178,7 @@ def _single(values: np.ndarray, r: hashing.Runs, burning: np.ndarray, window: in
     offset = np.repeat(hot.offset, hot.count) - within
     own = hashing.segment_hash(hashing.prefix(values), start, one, offset, window)
     anchor = hashing.mixed(np.repeat(hot.anchor, hot.count) ^ own)
-    return hashing.Runs(*(np.concatenate(x) for x in ((cold.start, start), (cold.count, one), (cold.offset, offset), (cold.anchor, anchor), (cold.segment, own))))
+    return hashing.Runs(*(np.concatenate(x) for x in ((cold.start, start), (cold.count, one), (cold.offset, offset), (cold.anchor, anchor), (cold.segment, own), (cold.hot, one))))
 
 
 def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -161,13 +189,17 @@ def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Sorted 48-bit values, as the gaps between them: five bytes each if all gaps fit, else six."""
+    gaps = np.diff(x, prepend=np.uint64(0))
+    width = 5 if len(gaps) and gaps.max() >> np.uint64(40) == 0 else 6
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _from_six(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    width = packed[0]
+    wide = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _texts(pdf: pd.DataFrame) -> list[bytes]:
@@ -192,9 +224,10 @@ def _anchors(unit: Unit, buckets: int):
         twice = np.bincount(back, np.concatenate(often), len(h)) > 1
         rows = []
         for bucket, which in _by_bucket(h, buckets):
-            # Those that this batch alone has twice or more come last, behind a count of the others.
+            # Those that this batch alone has twice or more come last.
             once, more = h[which[~twice[which]]], h[which[twice[which]]]
-            rows.append((pdf["_batch"].iloc[0], 0, bucket, np.array([len(once)], np.int64).tobytes() + _six(once) + _six(more)))
+            packed = _six(once)
+            rows.append((pdf["_batch"].iloc[0], 0, bucket, np.array([len(packed)], np.int64).tobytes() + packed + _six(more)))
         return pd.DataFrame(rows, columns=["_batch", "kind", "bucket", "payload"])
 
     return of
@@ -202,11 +235,12 @@ def _anchors(unit: Unit, buckets: int):
 
 def _shared(hot_batches: int):
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = [int(np.frombuffer(p[:8], np.int64)[0]) for p in pdf["payload"]]
-        held = [_from_six(p[8:]) for p in pdf["payload"]]
+        parts = [(p[8 : 8 + int(np.frombuffer(p[:8], np.int64)[0])], p[8 + int(np.frombuffer(p[:8], np.int64)[0]) :]) for p in pdf["payload"]]
+        pairs = [(_from_six(once), _from_six(more)) for once, more in parts]
+        held = [np.concatenate(p) for p in pairs]
         if not held:
             return pd.DataFrame(columns=["_batch", "kind", "bucket", "payload"])
-        weight = np.concatenate([np.where(np.arange(len(h)) < n, 1, 2) for h, n in zip(held, counts, strict=True)])
+        weight = np.concatenate([np.repeat((1, 2), (len(once), len(more))) for once, more in pairs])
         values, back, batches = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
         repeated, hot = np.bincount(back, weight, len(values)) > 1, batches > hot_batches
         rows, at = [], 0
@@ -215,7 +249,7 @@ def _shared(hot_batches: int):
             at += len(h)
             for kind, flag in ((1, repeated), (2, hot)):
                 if (keep := h[flag[mine]]).size:
-                    rows.append((b, kind, k, _six(keep)))
+                    rows.append((b, kind, k, _six(np.sort(keep))))
         return pd.DataFrame(rows, columns=["_batch", "kind", "bucket", "payload"])
 
     return of
@@ -233,18 +267,18 @@ def _send(unit: Unit, buckets: int):
         if not len(pdf) or not len(wanted):
             return empty
         texts, ids = _texts(pdf), pdf["doc_id"].to_numpy(np.int64)
-        got: list[list[np.ndarray]] = [[] for _ in range(9)]
+        got: list[list[np.ndarray]] = [[] for _ in range(10)]
         for r, text, _, bounds in _runs(texts, unit, wanted, hot):
             order = np.lexsort((ids[text], r.segment, r.anchor))
             a, s = r.anchor[order], r.segment[order]
             new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] != s[:-1]))))
             f = order[new]
             times = np.diff(np.append(new, len(order)))
-            for x, y in zip(got, (r.anchor[f], r.segment[f], r.offset[f], r.count[f], ids[text[f]], times, text[f], bounds[0][f], bounds[1][f]), strict=True):
+            for x, y in zip(got, (r.anchor[f], r.segment[f], r.hot[f], r.offset[f], r.count[f], ids[text[f]], times, text[f], bounds[0][f], bounds[1][f]), strict=True):
                 x.append(y)
         if not got[0]:
             return empty
-        a, s, offset, count, least, times, text, b0, b1 = (np.concatenate(x) for x in got)
+        a, s, burning, offset, count, least, times, text, b0, b1 = (np.concatenate(x) for x in got)
         order = np.lexsort((least, s, a))
         new = np.flatnonzero(np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (s[order][1:] != s[order][:-1]))))
         times = np.add.reduceat(times[order], new)
@@ -253,23 +287,23 @@ def _send(unit: Unit, buckets: int):
         for bucket, which in _by_bucket(a[f] >> np.uint64(16), buckets):
             w = f[which]
             cut = [texts[t][x:y] for t, x, y in zip(text[w].tolist(), b0[w].tolist(), b1[w].tolist(), strict=True)]
-            part = Segments(a[w], s[w], offset[w], count[w], least[w], times[which], np.array([len(c) for c in cut], np.int64), b"".join(cut))
+            part = Segments(a[w], s[w], burning[w], offset[w], count[w], least[w], times[which], np.array([len(c) for c in cut], np.int64), b"".join(cut))
             rows.append((pdf["_batch"].iloc[0], 3, bucket, part.pack()))
         return pd.DataFrame(rows, columns=["_batch", "kind", "bucket", "payload"])
 
     return of
 
 
-def _judge(index: Callable[[Segments, np.ndarray], Verdicts]):
+def _judge(unit: Unit, index: Callable[[Segments, np.ndarray], Verdicts]):
     """index(segments by anchor, group starts) gives the verdicts of groups of two or more."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame(columns=["_batch", "kind", "bucket", "payload"])
         if not len(pdf):
             return empty
-        parts = [Segments.unpack(p) for p in pdf["payload"]]
-        names = ("anchor", "segment", "offset", "count", "least", "times", "size")
-        anchor, segment, offset, count, least, times, size = (np.concatenate([getattr(p, x) for p in parts]) for x in names)
+        parts = [Segments.unpack(p, unit) for p in pdf["payload"]]
+        names = ("anchor", "segment", "hot", "offset", "count", "least", "times", "size")
+        anchor, segment, hot, offset, count, least, times, size = (np.concatenate([getattr(p, x) for p in parts]) for x in names)
         text = b"".join(p.text for p in parts)
         at = np.cumsum(size) - size
         order = np.lexsort((least, segment, anchor))
@@ -286,7 +320,7 @@ def _judge(index: Callable[[Segments, np.ndarray], Verdicts]):
         if (~alone).any():
             m = f[~alone]
             cut = [text[x : x + n] for x, n in zip(at[m].tolist(), size[m].tolist(), strict=True)]
-            many = Segments(anchor[m], segment[m], offset[m], count[m], least[m], total[~alone], size[m], b"".join(cut))
+            many = Segments(anchor[m], segment[m], hot[m], offset[m], count[m], least[m], total[~alone], size[m], b"".join(cut))
             groups = sizes[sizes > 1]
             verdict.append(index(many, np.cumsum(groups) - groups))
         v = Verdicts.joined(verdict)
@@ -361,7 +395,7 @@ def removed(docs: DataFrame, unit: Unit, index, remove, finish, schema: str, bat
     anchors = by_batch.applyInPandas(_anchors(unit, buckets), _ROUTE)
     shared = anchors.groupBy("bucket").applyInPandas(_shared(hot_batches), _ROUTE)
     sent = by_batch.cogroup(shared.groupBy("_batch")).applyInPandas(_send(unit, buckets), _ROUTE)
-    judged = sent.groupBy("bucket").applyInPandas(_judge(index), _ROUTE)
+    judged = sent.groupBy("bucket").applyInPandas(_judge(unit, index), _ROUTE)
     told = shared.unionByName(judged)
     cut = by_batch.cogroup(told.groupBy("_batch")).applyInPandas(_cut(unit, remove, finish), f"doc_id long, {schema}")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))

@@ -187,7 +187,7 @@ def _index(window: int, gram: int):
         while g < len(starts):
             h = max(g + 1, int(np.searchsorted(ends, starts[g] + SEGMENTS, side="right")))
             a, b = int(starts[g]), int(ends[h - 1])
-            some = (x[a:b] for x in (segments.anchor, segments.segment, segments.offset, segments.count, segments.least, segments.times, segments.size))
+            some = (x[a:b] for x in (segments.anchor, segments.segment, segments.hot, segments.offset, segments.count, segments.least, segments.times, segments.size))
             parts.append(sorted_groups(Segments(*some, segments.text[at[a] : at[b]]), starts[g:h] - a))
             g = h
         return Verdicts.joined(parts)

@@ -27,7 +27,10 @@ def _lookup(schema: T.StructType, column: str) -> T.StructField:
 
 
 def condition(where: tuple[Comparison, ...], schema: T.StructType, image: str | None = None) -> Column:
-    """The conjunction, literals cast to the columns' types here and not for each row."""
+    """The conjunction, literals cast to the columns' types here and not for each row.
+
+    A null comparison keeps nothing, as false does; left as it is, it reaches the scan.
+    """
     out = F.lit(True)
     for c in where:
         field = _lookup(schema, c.column)
@@ -46,7 +49,7 @@ def condition(where: tuple[Comparison, ...], schema: T.StructType, image: str |
             "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
         }[c.op](col, value)
         out = out & one
-    return F.coalesce(out, F.lit(False)) if where else out
+    return out
 
 
 @dataclass(frozen=True)

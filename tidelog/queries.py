@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions import mysql_values as mv
 from tidelog.functions import statements as st
@@ -16,7 +19,7 @@ from tidelog.operators.incremental import aggregate, merged, partial, shown
 from tidelog.operators.state import applied, key_moved, state
 from tidelog.plans.rules import Rule, ddl_matters, route_column
 from tidelog.plans.table_plan import TablePlan
-from tidelog.sources import snapshot
+from tidelog.sources import binlog, snapshot
 from tidelog.sources.changelog import MOVED, ORDER_ROW, SIDS, order_changes, order_rows
 from tidelog.streaming.runner import run_to_state, run_windows
 from tidelog.streaming.stateful import run_counts
@@ -101,6 +104,35 @@ def snapshot_filter(spark, sf_dir):
     return TablePlan.of("select o_orderkey, o_custkey from orders where o_orderstatus = 'F'", rows.schema, KEY).snapshot(rows)
 
 
+# The binary log.
+
+
+def _order_events(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each order as a rows event of one insert, with a JSON column."""
+    for pdf in parts:
+        rows = []
+        for k, c, s in zip(pdf["o_orderkey"].tolist(), pdf["o_custkey"].tolist(), pdf["o_orderstatus"].tolist(), strict=True):
+            doc = b"\0" + struct.pack("<HHHHBhc", 1, 12, 11, 1, 5, c % 1000, b"k")
+            image = b"\0" + struct.pack("<qq", k, c) + bytes([len(s)]) + s.encode() + struct.pack("<I", len(doc)) + doc
+            body = (7).to_bytes(6, "little") + b"\0\0" + struct.pack("<H", 2) + b"\x04\x0f" + image
+            rows.append(("log", k + 1, struct.pack("<IBIIIH", 1_600_000_000, 30, 1, 19 + len(body), 0, 0) + body))
+        yield pd.DataFrame(rows, columns=["file", "pos", "event"])
+
+
+@query("SELECT o_orderkey + 1 AS pos, 'shop' AS db, 'orders' AS tbl, o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status, (o_custkey % 1000)::INT AS k FROM orders")
+def binlog_decode_rows(spark, sf_dir):
+    """Orders written as raw row events, decoded again."""
+    kinds = bytes([binlog.LONGLONG, binlog.LONGLONG, binlog.VARCHAR, binlog.JSON])
+    body = (7).to_bytes(6, "little") + b"\0\0\x04shop\0\x06orders\0\x04" + kinds + b"\x03" + struct.pack("<H", 40) + b"\x04\x0f"
+    begin = [("log", 0, bytearray(struct.pack("<IBIIIH", 0, binlog.TABLE_MAP, 1, 19 + len(body), 0, 0) + body))]
+    shape = "file string, pos long, event binary"
+    events = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").mapInPandas(_order_events, shape)
+    raw = events.unionByName(spark.createDataFrame(begin, shape))
+    row = T.StructType([T.StructField("id", T.LongType()), T.StructField("customer", T.LongType()), T.StructField("status", T.StringType()), T.StructField("doc", T.StructType([T.StructField("k", T.IntegerType())]))])
+    out = binlog.typed(binlog.decode(raw, {("shop", "orders"): ["id", "customer", "status", "doc"]}), "shop", "orders", row)
+    return out.select("pos", "db", "tbl", "after.id", "after.customer", "after.status", "after.doc.k")
+
+
 # Routing.
 
 TABLES = ["orders", "_orders_gho", "_orders_del", "_orders", "lineitem", "order_log", "customer", "users_2020"]

@@ -63,3 +63,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": suffix_automaton.ORACLE,
         "op7_minhash_near_dedup": near_dedup.ORACLE,
     }
+
+
+QUERIES, ORACLES = queries(), oracle_sql()

@@ -21,7 +21,7 @@ def rows():
     near[90] = "changed"
     texts = [
         None, "", " \n\t ", "one", "two words", base, base, " ".join(near), base.upper(), prose(50) + " " + passage + " " + prose(40), passage, prose(30) + "\n" + passage,
-        "a " * 300, "x" * 5000, "é" * 120 + " ü😀 " * 40, prose(20_000), prose(34), prose(35), "idiot moron " + prose(30), "\0 nul " + prose(20), "mail joe@ex.com +49 30 123456789 1.2.3.4 4111 1111 1111 1111",
+        "a " * 300, "x" * 5000, "é" * 120 + " ü😀 " * 40, prose(20_000), prose(34), prose(35), "idiot moron " + prose(30), "\0 nul " + prose(20), "mail joe@ex.com or +49 30 123456789 or 1.2.3.4 or 4111 1111 1111 1111",
     ]
     out = [(k, t, ("en", "de", None)[k % 3], ("a", "b", None, "c")[k % 4]) for k, t in enumerate(texts)]
     # Rows that repeat, an id with two texts, rows without an id.

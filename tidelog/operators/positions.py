@@ -109,3 +109,9 @@ def domain_contains(outer: DataFrame, inner: DataFrame) -> DataFrame:
 def file_position_reached(points: DataFrame, file: str, pos: int) -> DataFrame:
     """Points (file, pos) that are at or before a place: an earlier file, or the same one up to it."""
     return points.filter(F.struct("file", "pos") <= F.struct(F.lit(file).alias("file"), F.lit(pos).cast("long").alias("pos")))
+
+
+def lost(purged: DataFrame, position: DataFrame) -> DataFrame:
+    """The gap records of a start from `position` on a server that has purged some transactions: what
+    was purged and not yet read, and so can never be read."""
+    return difference(purged, position, "lost")

@@ -91,3 +91,8 @@ def ddl_matters(rules: list[Rule], dbname: str, statement: str) -> bool:
 def is_hosted_system_statement(sql: Column) -> Column:
     """Statements of hosted servers about their own tables; they are skipped."""
     return sql.contains(" mysql.rds_")
+
+
+def statement_allowed(rules: list[Rule], dbname: str) -> bool:
+    """Whether statements about a database are followed at all."""
+    return any(r.dbname == dbname for r in rules)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tidelog.functions import mysql_values as mv
 from tidelog.functions import statements as st
 from tidelog.functions.binding import exploded
-from tidelog.operators import envelope, metrics, positions, stitch, tasks, timeline
+from tidelog.operators import envelope, metrics, positions, results, stitch, tasks, timeline
 from tidelog.operators.incremental import aggregate, merged, partial, shown
 from tidelog.operators.state import applied, key_moved, state
 from tidelog.plans.rules import Rule, ddl_matters, route_column
@@ -541,6 +541,18 @@ def gtid_executed(spark, sf_dir):
     return positions.executed(log(spark, sf_dir))
 
 
+@query(f"WITH {POINTS}, u AS (SELECT sid, n FROM p WHERE set_id = 'b' EXCEPT SELECT sid, n FROM p WHERE set_id = 'a') " + ISLANDS.format(id="'lost'", by="sid", src="u"))
+def gtid_purged_gap(spark, sf_dir):
+    return positions.lost(_sets(spark, "b"), _sets(spark, "a"))
+
+
+@query("SELECT true AS ahead, false AS behind")
+def mariadb_contains(spark, sf_dir):
+    points = lambda *p: spark.createDataFrame(p, "domain int, server int, sequence long")
+    a, b = points((0, 1, 10), (1, 1, 5)), points((0, 2, 9))
+    return positions.domain_contains(a, b).withColumnRenamed("contains", "ahead").crossJoin(positions.domain_contains(b, a).withColumnRenamed("contains", "behind"))
+
+
 MARIA = "(VALUES (0, 1, 10), (0, 2, 12), (1, 1, 5), (1, 1, 4)) v(domain, server, sequence)"
 
 
@@ -690,6 +702,35 @@ def event_token_minimum(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", st.earliest_token(ts, other).alias("first"))
 
 
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT s_suppkey::INT, s_name FROM supplier")
+def result_append(spark, sf_dir):
+    other = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("n_nationkey"), F.col("s_name").alias("n_name"))
+    return results.appended(results.first_columns(table(spark, sf_dir, "nation"), 2), other)
+
+
+@query("SELECT o_orderstatus, count(*) - count(*) FILTER (o_orderkey % 5 <> 0) AS missing FROM orders GROUP BY 1")
+def result_differences(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return results.differences(rows, rows.filter("o_orderkey % 5 <> 0")).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, 0::BIGINT AS bad FROM events")
+def named_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), "event_type")
+    return rows.select("event_id", results.named("k", "bigint", -1).alias("k"), results.named("event_type", "bigint", 0).alias("bad"))
+
+
+@query("SELECT p_partkey, base64(encode(p_name)) AS encoded FROM part")
+def ascii_encoding(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.base64(F.col("p_name").cast("binary")).alias("encoded"))
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
+def collated_filter(spark, sf_dir):
+    """A case-insensitive comparison by collation."""
+    return table(spark, sf_dir, "customer").filter(F.collate("c_mktsegment", "UTF8_LCASE") == F.lit("Building")).select("c_custkey")
+
+
 # Control plane and metrics.
 
 TASKS = [(k, f"10.0.0.{k % 3}", ("running", "paused", "running", "copying")[k % 4], 1000 + 37 * k) for k in range(23)]

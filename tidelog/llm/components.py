@@ -25,9 +25,11 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each node hangs on one other, which hangs on none."""
-    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
-    chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
-    return twice.unionByName(chained).isEmpty()
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    by_node = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return by_node.filter("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,5 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
     down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = stored(down.distinct())
     while not _stars(edges):
-        edges = stored(_small(_large(edges).distinct()).distinct())
+        edges = stored(_small(_large(edges)).distinct())
     return edges

@@ -40,6 +40,8 @@ HASHES = BANDS * ROWS
 BITS = 512
 MOST_BITS = 80
 PERCENT = 80
+#: Candidate pairs per node that are verified at once; with more, the best ones go first.
+FEW = 4
 
 _random = np.random.default_rng(7_062_024)
 _FLIP = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -189,7 +191,7 @@ def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int) ->
     tried = stored(best)
     graph = components(links.unionByName(_verified(tried, texts, words)))
 
-    for only_best in (True, False):
+    for last_round in (False, True):
         root = graph.withColumnsRenamed({"u": "node", "v": "root"})
         placed = stored(shared.select("node", "key").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
         # What a bucket has of each component; buckets of one component are done.
@@ -202,17 +204,23 @@ def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int) ->
         allowed = (members["key"] == strays["key"]) & (F.col("root") != F.col("s_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("s"))) & (_apart() <= MOST_BITS)
         met = members.join(strays, allowed).withColumn("apart", _apart())
         pairs = met.select(F.greatest("node", "s").alias("u"), F.least("node", "s").alias("v"), "s", "root", "apart").distinct()
-        pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        if only_best:
-            first = Window.partitionBy("s", "root").orderBy("apart", "u", "v")
-            pairs = pairs.withColumn("r", F.row_number().over(first)).filter("r = 1")
-        pairs = stored(pairs.select("u", "v").distinct())
+        pairs = stored(pairs.join(tried, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
             break
-        links = stored(_verified(pairs, texts, words))
+        # Where there are many pairs, the best of each stray and component may settle the others.
+        all_of_them = last_round or pairs.count() <= FEW * texts.count()
+        if all_of_them:
+            chosen = pairs.select("u", "v").distinct()
+        else:
+            first = Window.partitionBy("s", "root").orderBy("apart", "u", "v")
+            chosen = pairs.withColumn("r", F.row_number().over(first)).filter("r = 1").select("u", "v").distinct()
+        chosen = stored(chosen)
+        links = stored(_verified(chosen, texts, words))
         if not links.isEmpty():
             graph = components(graph.unionByName(links))
-        tried = tried.unionByName(pairs)
+        if all_of_them:
+            break
+        tried = tried.unionByName(chosen)
     return graph
 
 

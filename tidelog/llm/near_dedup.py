@@ -3,10 +3,10 @@
 A document's set has the distinct `WORDS`-word shingles of its text, A-Z lowered (all its words as
 one if there are fewer). Two documents are linked if 100 x intersection >= 80 x union.
 
-1. Each document gets `HASHES` MinHash samples. Their bands are bucket keys; all samples are folded
+1. Each document gets `HASHES` MinHash samples. Bands of some are bucket keys; all samples are folded
    into an odd sketch: each flips one bit of a bitmap, so the bits in which two bitmaps differ tell
    how many samples do. At a similarity of 0.8 a pair shares none of 30 bands of 4 with probability
-   1.4e-7, and has more than `MOST_BITS` differing bits with about 4e-6.
+   1.4e-7, and has more than `MOST_BITS` differing bits with about 1e-5; at 0.7 most pairs have more.
 2. Documents with equal sets are one node from here on, named by the least doc_id.
 3. In each bucket, every node is a candidate for a link with the bucket's least node, if their
    sketches allow it. Each node's best candidate is verified on the full sets.
@@ -36,9 +36,10 @@ from tidelog.llm.storage import stored
 
 WORDS = 4
 BANDS, ROWS = 30, 4
-HASHES = BANDS * ROWS
-BITS = 512
-MOST_BITS = 80
+#: MinHash samples: the bands take the first ones, the sketches all.
+HASHES = 480
+BITS = 1024
+MOST_BITS = 215
 PERCENT = 80
 #: Candidate pairs per node that are verified at once; with more, the best ones go first.
 FEW = 4
@@ -93,7 +94,7 @@ def _signed(parts: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]
         n = np.array([len(s) for s in sets], np.int64)
         # The last row is no document's: it keeps the arrays from being empty.
         mins = np.array([samples(s) for s in sets if len(s)] + [np.zeros(HASHES, np.uint32)])
-        band = mins.reshape(len(mins), BANDS, ROWS).astype(np.uint64) + _SALT.reshape(BANDS, ROWS)[None]
+        band = mins[:, : BANDS * ROWS].reshape(len(mins), BANDS, ROWS).astype(np.uint64) + _SALT[: BANDS * ROWS].reshape(BANDS, ROWS)[None]
         bands = hashing.mixed(hashing.mixed(band).sum(axis=2, dtype=np.uint64)).view(np.int64)
         odd = sketches(mins)
         at = np.where(n > 0, np.cumsum(n > 0) - 1, len(mins) - 1)
@@ -170,18 +171,18 @@ def _same_id(signed: DataFrame) -> DataFrame:
 
 def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int) -> DataFrame:
     """The components of the classes, as `components` gives them, from `links` and all similar pairs."""
-    banded = classes.select("node", F.explode("bands").alias("key"))
+    banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
     lead = banded.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last").select("key", "v")
     # From here on only nodes that share a bucket; their texts are fetched once.
     shared = stored(banded.join(lead, "key"))
-    nodes = shared.select("node").distinct().join(classes.select("node", "text_hash", "sketch"), "node")
+    nodes = shared.select("node").distinct().join(classes.select("node", "text_hash", "sketch", "bands"), "node")
     id_of = F.when(F.col("node") < _NULL_IDS, F.col("node"))
     same_text = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("text_hash_"))
     all_texts = read.select(F.col("doc_id").alias("id_"), "text", F.xxhash64("text").alias("text_hash_"))
     found = nodes.withColumn("id", id_of).join(all_texts, same_text)
     # Equal rows have one text; any of them will do.
     one = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("node"))
-    texts = stored(found.withColumn("one", one).filter("one = 1").select("node", "sketch", "text"))
+    texts = stored(found.withColumn("one", one).filter("one = 1").select("node", "sketch", "bands", "text"))
     sketches_of = texts.select("node", "sketch")
 
     pairs = shared.filter("node > v").select(F.col("node").alias("u"), "v").distinct()
@@ -193,15 +194,18 @@ def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int) ->
 
     for last_round in (False, True):
         root = graph.withColumnsRenamed({"u": "node", "v": "root"})
-        placed = stored(shared.select("node", "key").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        placed = stored(shared.select("node", "band", "key").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
         # What a bucket has of each component; buckets of one component are done.
         held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
         mixed = held.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        members = placed.join(mixed.select("key", "main"), "key").join(sketches_of, "node")
-        strays = members.filter("root <> main").select("key", F.col("node").alias("s"), F.col("root").alias("s_root"), F.col("sketch").alias("other"))
+        members = placed.join(mixed.select("key", "main"), "key").join(texts.select("node", "sketch", "bands"), "node")
+        strays = members.filter("root <> main").select(
+            F.col("key").alias("s_key"), F.col("node").alias("s"), F.col("root").alias("s_root"), F.col("sketch").alias("other"), F.col("bands").alias("s_bands")
+        )
         # A stray is paired with the main component's nodes, and once with each other stray, as far
-        # as their sketches allow: the join puts out no other pairs.
-        allowed = (members["key"] == strays["key"]) & (F.col("root") != F.col("s_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("s"))) & (_apart() <= MOST_BITS)
+        # as their sketches allow, in the first bucket that both are in: the join puts out no more.
+        met_before = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("band")), F.slice("s_bands", F.lit(1), F.col("band")))
+        allowed = (F.col("key") == F.col("s_key")) & (F.col("root") != F.col("s_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("s"))) & (_apart() <= MOST_BITS) & ~met_before
         met = members.join(strays, allowed).withColumn("apart", _apart())
         pairs = met.select(F.greatest("node", "s").alias("u"), F.least("node", "s").alias("v"), "s", "root", "apart").distinct()
         pairs = stored(pairs.join(tried, ["u", "v"], "left_anti"))

@@ -101,19 +101,19 @@ class LabelModel:
 
     def __init__(self, votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 25) -> None:
         v = np.column_stack((votes, 2 * labels - 1)).astype(np.int8)
-        said = [(v == x).astype(float) for x in (-1, 0, 1)]
+        said = [(v == x).astype(np.float32) for x in (-1, 0, 1)]
         posterior = np.where(labels == 1, 0.9, 0.1)
         self.share = np.ones(v.shape[1])
         for k in range(rounds):
             self.prior = (weight @ posterior + 1) / (weight.sum() + 2)
             rates = []
             for mass in (weight * (1 - posterior), weight * posterior):
-                r = np.stack([mass @ s for s in said]) + np.array([[0.1], [0.8], [0.1]])
+                r = np.stack([mass.astype(np.float32) @ s for s in said]).astype(float) + np.array([[0.1], [0.8], [0.1]])
                 rates.append(r / r.sum(axis=0))
             evidence = np.log(rates[1]) - np.log(rates[0])
             if k % 5 == 4:
                 self.share = 1 / (1 + self._repeated(v, posterior, weight))
-            logit = np.log(self.prior / (1 - self.prior)) + sum(s @ (e * self.share) for s, e in zip(said, evidence, strict=True))
+            logit = np.log(self.prior / (1 - self.prior)) + sum(s @ (e * self.share).astype(np.float32) for s, e in zip(said, evidence, strict=True))
             posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         self.posterior, self.evidence = posterior, evidence
 
@@ -124,8 +124,8 @@ class LabelModel:
         for mass in (weight * (1 - posterior), weight * posterior):
             if mass.sum() < 5:
                 continue
-            x = v - (mass @ v) / mass.sum()
-            c = (x * mass[:, None]).T @ x / mass.sum()
+            x = (v - (mass @ v) / mass.sum()).astype(np.float32)
+            c = ((x * mass[:, None].astype(np.float32)).T @ x / mass.sum()).astype(float)
             d = np.sqrt(np.maximum(np.diag(c), 1e-9))
             total += mass.sum() / weight.sum() * np.where(np.outer(d, d) > 1e-6, c / np.outer(d, d), 0)
         np.fill_diagonal(total, 0)
@@ -176,11 +176,15 @@ class Model:
 
 def _telling(words: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Words more often in rows of label 1 than chance allows, given how many words there are."""
-    flat = np.concatenate(words)
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    found, back = np.unique(flat, return_inverse=True)
-    toxic = np.bincount(back, weight[row] * labels[row], len(found))
-    every = np.bincount(back, weight[row], len(found))
+    found = np.unique(np.concatenate([w for w, y in zip(words, labels, strict=True) if y == 1]))
+    toxic, every = np.zeros(len(found)), np.zeros(len(found))
+    if not len(found):
+        return found
+    for w, y, share in zip(words, labels, weight, strict=True):
+        at = np.minimum(np.searchsorted(found, w), len(found) - 1)
+        at = at[found[at] == w]
+        every[at] += share
+        toxic[at] += share * y
     base = np.clip((weight @ labels) / weight.sum(), 1e-6, 1 - 1e-6)
     share = np.clip(toxic / np.maximum(every, 1e-9), 1e-6, 1 - 1e-6)
     gain = toxic * np.log(share / base) + (every - toxic) * np.log((1 - share) / (1 - base))

@@ -824,7 +824,7 @@ JOIN_SQL = {
     "set_union_all": ("SELECT s, count(*) AS n FROM (SELECT o_orderstatus AS s FROM orders UNION ALL SELECT l_linestatus FROM lineitem) GROUP BY s", None),
     "order_limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", None),
     "aggregate_names": (
-        "SELECT l_returnflag, avg(l_linenumber) AS a, bit_and(l_linenumber) AS b, bit_or(l_linenumber) AS o, bit_xor(l_linenumber) AS x, count(DISTINCT l_suppkey) AS d, min(l_linenumber) AS mi, max(l_linenumber) AS ma, var_pop(l_linenumber) AS vp, stddev_samp(l_linenumber) AS ss FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, avg(l_linenumber) AS a, bit_and(l_linenumber) AS b, bit_or(l_linenumber) AS o, bit_xor(l_linenumber) AS x, count(DISTINCT l_suppkey) AS d, min(l_linenumber) AS mi, max(l_linenumber) AS ma, round(var_pop(l_linenumber), 6) AS vp, round(stddev_samp(l_linenumber), 6) AS ss FROM lineitem GROUP BY l_returnflag",
         None,
     ),
     "group_concat": (

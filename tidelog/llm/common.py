@@ -31,12 +31,23 @@ def fresh(docs: DataFrame, stem: str) -> str:
     return stem
 
 
+#: Rows that are Python objects at once.
+SLICE = 500
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches in slices: a batch's texts are never all unpacked at once."""
+    for b in batches:
+        for a in range(0, b.num_rows, SLICE):
+            yield b.slice(a, SLICE)
+
+
 def filtered(docs: DataFrame, value: Column, keep: Callable[[list], list[bool]]) -> DataFrame:
     """The rows of `docs` that `keep` says so of, by their `value`; no shuffle, all columns stay."""
     name = fresh(docs, "_value")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             mask = keep(b.column(b.num_columns - 1).to_pylist())
             yield b.select(list(range(b.num_columns - 1))).filter(pa.array(mask, pa.bool_()))
 
@@ -48,7 +59,7 @@ def replaced_text(docs: DataFrame, change: Callable[[list], list]) -> DataFrame:
     at = docs.columns.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             text = pa.array(change(b.column(at).to_pylist()), b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(b.num_columns)], schema=b.schema)
 

@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import hashing
-from tidelog.llm.common import column, fresh
+from tidelog.llm.common import column, fresh, sliced
 from tidelog.llm.components import components
 from tidelog.llm.storage import stored
 
@@ -49,6 +50,9 @@ _FLIP = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _ODD = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64)
 _NULL_IDS = 1 << 62
+_SIGNED = pa.schema([
+    ("doc_id", pa.string()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("text_hash", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
+])
 
 
 def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -88,8 +92,8 @@ def sketches(mins: np.ndarray) -> np.ndarray:
     return np.packbits(parity.reshape(-1, BITS), axis=1).view(np.int64)
 
 
-def _signed(parts: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
+def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for pdf in (b.to_pandas() for b in sliced(batches)):
         sets = list(shingles(pdf["text"].tolist(), words))
         n = np.array([len(s) for s in sets], np.int64)
         # The last row is no document's: it keeps the arrays from being empty.
@@ -98,7 +102,7 @@ def _signed(parts: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]
         bands = hashing.mixed(hashing.mixed(band).sum(axis=2, dtype=np.uint64)).view(np.int64)
         odd = sketches(mins)
         at = np.where(n > 0, np.cumsum(n > 0) - 1, len(mins) - 1)
-        yield pd.DataFrame({
+        out = pd.DataFrame({
             "doc_id": pdf["doc_id"].to_numpy(),
             "n": n,
             "s1": np.array([int(hashing.mixed(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64),
@@ -107,6 +111,7 @@ def _signed(parts: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]
             "bands": list(bands[at]),
             "sketch": list(odd[at]),
         })
+        yield pa.RecordBatch.from_pandas(out, _SIGNED, preserve_index=False)
 
 
 def _apart() -> Column:
@@ -118,8 +123,9 @@ def _apart() -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (u, v) of nodes whose full sets are similar enough."""
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            pdf = batch.to_pandas()
             keep = []
             held: dict[str, np.ndarray] = {}
             wanted = list(dict.fromkeys([*pdf["a"], *pdf["b"]]))
@@ -129,13 +135,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 x, y = held[a], held[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["u", "v"]]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     # Later rounds have few pairs: only their nodes' texts are moved.
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     texts = texts.select("node", "text").join(needed, "node", "left_semi")
     first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    return first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b").mapInPandas(of, "u long, v long")
+    return first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(of, "u long, v long")
 
 
 def labelled(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -143,7 +149,7 @@ def labelled(docs: DataFrame, words: int = WORDS) -> DataFrame:
     read = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     keyed = read.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     schema = "doc_id string, n long, s1 long, s2 long, text_hash long, bands array<long>, sketch array<long>"
-    signed = keyed.mapInPandas(lambda parts: _signed(parts, words), schema)
+    signed = keyed.mapInArrow(lambda batches: _signed(batches, words), schema)
     # A null id's node is above all ids, and the same for equal sets.
     node = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_IDS) + F.pmod("s1", F.lit(_NULL_IDS)))
     signed = stored(signed.withColumn("node", node))

@@ -1,5 +1,7 @@
 """Held-out accuracy, and odd rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,19 @@ def test_language_odd_rows(spark):
     assert language_id.digest(odd.empty(spark)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    texts = {f"x{k:03}": " ".join(word() for _ in range(8)) for k in range(170)}
+    # The last twenty are rare; one of the common ones has nothing but equal rows without an id.
+    rows = [(None if k == 0 else 1000 * k + j, texts[x], x) for k, x in enumerate(texts) for j in range(1 if k >= 150 else 60 if k else 3000)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert model.languages == sorted(texts)
+    assert [p[0] for p in model.predict(list(texts.values()))] == list(texts)
+    # All rows count for the idf: the blank is in each.
+    assert model.idf.min() == 1
+
+
 def test_toxicity(docs, labels):
     out = toxicity.digest(docs, labels)
     assert share_right(out, labels, "toxic") > 0.93 and out.filter("score < 0 or score > 1 or score is null").count() == 0

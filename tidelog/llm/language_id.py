@@ -2,8 +2,10 @@
 
 A text's n-grams are those of one to three bytes of its lower-cased UTF-8, digits, ASCII punctuation
 and white space all being one blank; they are hashed into `WIDTH` dimensions. A vector has
-(1 + log count) x idf in each, normalised. The idf counts all rows to learn from. The centroids of a
-language come from spherical k-means over a bounded sample of its rows, `SAMPLE` in all languages.
+(1 + log count) x idf in each, normalised. The idf counts all rows to learn from. Every language that
+is not null is learned: its centroids come from spherical k-means over its first rows by hash, an equal
+share of `SAMPLE` for each language but `LEAST_PER_LANGUAGE` at least, on the executors. The driver and
+each task hold `CENTROIDS` x `WIDTH` numbers (64 KB) a language, whatever the number of rows.
 
 A text gets the language of the centroid with the largest cosine. Its score is the soft maximum of
 the languages' best cosines. If the best cosine is below what all but one in a thousand of the
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import hashing
@@ -82,13 +84,11 @@ def clustered(v: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, languages: list[str], sample: list[np.ndarray]) -> None:
-        self.idf, self.languages = idf, languages
-        centres = [clustered(vectors(s, idf), CENTROIDS) for s in sample]
+    def __init__(self, idf: np.ndarray, languages: list[str], centres: list[np.ndarray], reject_below: list[float]) -> None:
+        self.idf, self.languages, self.reject_below = idf, languages, reject_below
         self.centroids = np.concatenate(centres) if centres else np.zeros((0, WIDTH), np.float32)
-        self.of = np.repeat(np.arange(len(centres)), [len(c) for c in centres])
-        own = [np.max(vectors(s, idf) @ c.T, axis=1) for s, c in zip(sample, centres, strict=True)]
-        self.reject_below = [float(np.quantile(x, 0.001)) for x in own]
+        #: Where each language's centroids begin.
+        self.first = np.cumsum([0, *(len(c) for c in centres)])[:-1]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """(language, score, cosine, rejected) of each text."""
@@ -97,7 +97,7 @@ class Model:
         for a in range(0, len(told), 512):
             part = told[a : a + 512]
             cosine = vectors(counts([texts[k] for k in part]), self.idf) @ self.centroids.T
-            best = np.stack([cosine[:, self.of == j].max(axis=1) for j in range(len(self.languages))], axis=1).astype(float)
+            best = np.maximum.reduceat(cosine, self.first, axis=1).astype(float)
             e = np.exp(SHARPNESS * (best - best.max(axis=1, keepdims=True)))
             for k, j, b, p in zip(part, best.argmax(axis=1).tolist(), best, (e / e.sum(axis=1, keepdims=True)).max(axis=1).tolist(), strict=True):
                 out[k] = (self.languages[j], p, float(b[j]), bool(b[j] < self.reject_below[j]))
@@ -116,32 +116,41 @@ def _frequencies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sampled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
-        yield pd.DataFrame({"lang": pdf["lang"].to_numpy(), "counts": [np.minimum(c, 65_535).astype(np.uint16).tobytes() for c in counts(pdf["text"].tolist())]})
+        for a in range(0, len(pdf), 512):
+            part = pdf[a : a + 512]
+            yield pd.DataFrame({"lang": part["lang"].to_numpy(), "counts": [np.minimum(c, 65_535).astype(np.uint16).tobytes() for c in counts(part["text"].tolist())]})
+
+
+def _learned(idf: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The centroids of one language's sampled rows, and the cosine to reject below."""
+    # In an order that no partitioning changes.
+    rows = sorted(pdf["counts"])
+    v = np.concatenate([vectors(np.array([np.frombuffer(r, np.uint16) for r in rows[a : a + 512]]), idf) for a in range(0, len(rows), 512)])
+    c = clustered(v, CENTROIDS)
+    return pd.DataFrame({"lang": pdf["lang"][:1], "centroids": [c.tobytes()], "reject_below": [float(np.quantile(np.max(v @ c.T, axis=1), 0.001))]})
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from (doc_id, text, lang); `sample` bounds the rows that centroids are fitted on."""
+    """A model from (doc_id, text, lang); a language's centroids are fitted on at most its share of `sample`."""
     known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_task = known.select("text").mapInPandas(_frequencies, "rows long, total array<long>")
     # One row of WIDTH counts a task; summed up by dimension before they reach the driver.
     document = dict(per_task.select(F.posexplode("total").alias("k", "n")).groupBy("k").agg(F.sum("n")).collect())
-    by_language = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, sample // LEAST_PER_LANGUAGE)).collect()}
-    total = sum(by_language.values())
+    total, many = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     df = np.array([document.get(k, 0) for k in range(WIDTH)], float)
     idf = np.log((1 + total) / (1 + df)) + 1
-    if not by_language:
-        return Model(idf, [], [])
-    each = max(LEAST_PER_LANGUAGE, sample // len(by_language))
-    # Rows whose hash falls below a language's share; about `each` of them.
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in by_language.items() for x in (k, min(1 << 20, (1 << 20) * each // n + 1)))), F.col("lang"))
-    drawn = known.filter(draw < F.coalesce(share, F.lit(0))).select("lang", "text").mapInPandas(_sampled, "lang string, counts binary")
-    found: dict[str, list[np.ndarray]] = {}
-    for r in drawn.limit(2 * sample).collect():
-        found.setdefault(r["lang"], []).append(np.frombuffer(r["counts"], np.uint16))
-    languages = sorted(found)
-    order = lambda c: c.tobytes()  # noqa: E731  the sample, in an order that no partitioning changes
-    return Model(idf, languages, [np.array(sorted(found[x], key=order)) for x in languages])
+    if not many:
+        return Model(idf, [], [], [])
+    each = max(LEAST_PER_LANGUAGE, sample // many)
+    # The rows of a language up to its hash number `each`; tasks pass on no more of each language.
+    hashed = known.withColumn("draw", F.xxhash64("doc_id", "text"))
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("draw"))
+    last = hashed.select("lang", "draw").withColumn("place", place).filter(F.col("place") <= each).groupBy("lang").agg(F.max("draw").alias("last"))
+    # One number a language, where the model has 64 KB of it: a small side whatever Spark's estimate.
+    drawn = hashed.join(F.broadcast(last), "lang").filter("draw <= last").groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    grouped = drawn.select("lang", "text").mapInPandas(_sampled, "lang string, counts binary").groupBy("lang")
+    learned = sorted(grouped.applyInPandas(lambda pdf: _learned(idf, pdf), "lang string, centroids binary, reject_below double").collect())
+    return Model(idf, [r.lang for r in learned], [np.frombuffer(r.centroids, np.float32).reshape(-1, WIDTH) for r in learned], [r.reject_below for r in learned])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -140,6 +140,21 @@ def test_odd_sketches_tell_similarity():
         assert abs(np.mean(bits)) < 0.05
 
 
+def test_sketches_miss_less_than_bands():
+    """Exactly: samples that differ are binomial, and each flips two of the bits that tell."""
+    differ, bits = np.zeros(near_dedup.HASHES + 1), np.zeros(near_dedup.BITS + 1)
+    differ[0] = bits[0] = 1
+    for _ in range(near_dedup.HASHES):
+        differ[1:], differ[0] = 0.8 * differ[1:] + 0.2 * differ[:-1], 0.8 * differ[0]
+    missed, odd_bits = 0.0, np.arange(near_dedup.BITS + 1) / near_dedup.BITS
+    for share in differ:
+        missed += share * bits[near_dedup.MOST_BITS + 1 :].sum()
+        for _ in range(2):
+            bits = np.append(0, (bits * (1 - odd_bits))[:-1]) + np.append((bits * odd_bits)[1:], 0)
+    assert missed < (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS
+    assert missed == pytest.approx(7.1e-8, rel=0.02)
+
+
 def test_components(spark):
     edges = [(a, a + 1) for a in range(1, 60)] + [(100 + k, 100) for k in range(1, 30)] + [(7, 7), (500, 400), (400, 450)]
     out = {tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -110,6 +110,19 @@ def test_near_dedup(spark):
     assert [r.doc_id for r in kept.filter("text is not null").collect()].count(5) == 1 and not kept.filter("doc_id in (6, 7, 8)").count()
 
 
+def test_near_dedup_of_odd_ids(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = [" ".join([*base[:at], "changed", *base[at + 1 :]]) for at in (30, 60)]
+    twice = [" ".join([f"v{k}" for k in range(50)] + x) for x in ([], ["end"], ["stop"])]
+    rows = [(None, " ".join(base)), (None, near[0]), (None, near[1]), (None, near[1])]
+    rows += [(7, twice[0]), (7, twice[1]), (9, twice[2]), (8, "one"), (8, "other words")]
+    rows += [(None, None), (None, None), (None, ""), (None, ""), (4, " "), (4, " ")]
+    kept = near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(r.doc_id is None and "w1 " in (r.text or "") for r in kept) == 1
+    assert sorted(r.doc_id for r in kept if r.doc_id and (r.text or "").strip()) == [7, 8]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept if not (r.text or "").strip()) == sorted((str(d), str(t)) for d, t in rows[-6:])
+
+
 def test_near_copies_around_a_base(spark):
     """Copies that are similar to their base but not to each other are one component."""
     r = np.random.default_rng(5)

@@ -18,7 +18,9 @@ one if there are fewer). Two documents are linked if 100 x intersection >= 80 x
 
 Nothing gathers a bucket in one task: buckets are aggregates and joins. Defined results: a text
 without words is empty and linked with nothing; rows with one doc_id count as one document for
-links; a null doc_id is no one's component_id: the component of null ids alone is null and kept.
+links; a null doc_id is no one's component_id: the component of null ids alone is null and `digest`
+keeps its rows. `dedup` leaves one row of every component, by node and text hash, whatever the ids; of
+texts without words it leaves every row.
 """
 
 from __future__ import annotations
@@ -147,6 +149,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 def labelled(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) for each row of `docs`."""
+    component_id = F.when(F.col("root") < _NULL_IDS, F.col("root")).alias("component_id")
+    return _rooted(docs, words).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component_id)
+
+
+def _rooted(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, n, node, root) for each row of `docs`; rows of one component have one root."""
     read = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     keyed = read.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     schema = "doc_id string, n long, s1 long, s2 long, text_hash long, bands array<long>, sketch array<long>"
@@ -161,11 +169,9 @@ def labelled(docs: DataFrame, words: int = WORDS) -> DataFrame:
     graph = _graph(classes, read, _same_id(signed), words)
     component = some.join(classes.select("s1", "s2", "n", F.col("node").alias("class")), ["s1", "s2", "n"]).join(
         graph.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left"
-    ).select("doc_id", "text_hash", "n", F.coalesce("root", "class").alias("root"))
-    alone = signed.filter("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").cast("long").alias("root"))
-    return component.unionByName(alone).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("root") < _NULL_IDS, F.col("root")).alias("component_id")
-    )
+    ).select("doc_id", "text_hash", "n", "node", F.coalesce("root", "class").alias("root"))
+    alone = signed.filter("n = 0").select("doc_id", "text_hash", "n", "node", F.col("doc_id").cast("long").alias("root"))
+    return component.unionByName(alone).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _same_id(signed: DataFrame) -> DataFrame:
@@ -241,14 +247,18 @@ def digest(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row with the least id."""
-    key, text, one = (fresh(docs, n) for n in ("_n_id", "_n_hash", "_n_one"))
-    stay = labelled(docs, words).filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    stay = stay.select(F.col("doc_id").alias("_k_id"), F.col("text_hash").alias("_k_hash")).distinct()
+    """The rows of `docs` without near-duplicates: one row of each component, all rows without words."""
+    key, text, part, one = (fresh(docs, n) for n in ("_n_id", "_n_hash", "_n_part", "_n_one"))
+    rooted = _rooted(docs, words).withColumn("_k_empty", F.col("n") == 0)
+    least = F.min(F.struct("node", "text_hash", "doc_id")).alias("least")
+    some = rooted.filter("n > 0").groupBy("root", "_k_empty").agg(least).select("least.doc_id", "least.text_hash", "_k_empty")
+    stay = some.unionByName(rooted.filter("n = 0").select("doc_id", "text_hash", "_k_empty").distinct()).withColumnsRenamed({"doc_id": "_k_id", "text_hash": "_k_hash"})
     keyed = docs.withColumns({key: column(docs, "doc_id", "long"), text: F.xxhash64(column(docs, "text", "string"))})
-    left = keyed.join(stay, F.col(key).eqNullSafe(F.col("_k_id")) & F.col(text).eqNullSafe(F.col("_k_hash")), "left_semi")
-    first = left.withColumn(one, F.row_number().over(Window.partitionBy(key, text).orderBy(F.lit(0))))
-    return first.filter(F.col(one) == 1).drop(key, text, one)
+    left = keyed.join(stay, F.col(key).eqNullSafe(F.col("_k_id")) & (F.col(text) == F.col("_k_hash")))
+    # Equal rows become one; rows without words are each a part of their own.
+    parts = left.withColumn(part, F.when(F.col("_k_empty"), F.monotonically_increasing_id()))
+    first = parts.withColumn(one, F.row_number().over(Window.partitionBy(key, text, part).orderBy(F.lit(0))))
+    return first.filter(F.col(one) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""

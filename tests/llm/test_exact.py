@@ -301,6 +301,17 @@ def test_personal_data_consistency():
     assert pii.masked("me@x.org and ME@X.ORG", weights) == "<email> and <email>"
 
 
+def test_personal_data_sample(spark):
+    mails = " ".join(f"joe{k}@ex.com" for k in range(70))
+    cards = " , ".join(["4111 1111 1111 1111"] * 70)
+    one = spark.createDataFrame([(mails + " " + cards,)], "text string")
+    # What stands behind the first candidates is learned too.
+    assert pii.fit(one)[pii._N_FEATURES - 2, 2] > 0
+    texts = [(f"call {k} +49 30 {1234567 + k} or 10.0.0.{k} or a{k}@ex.com",) for k in range(200)]
+    plain, copied = (spark.createDataFrame(rows, "text string").repartition(n) for rows, n in ((texts, 3), (texts + texts[:1] * 2000 + texts[1:9] * 50, 5)))
+    assert np.array_equal(pii.fit(plain, 40), pii.fit(copied, 40))
+
+
 def test_long_texts_are_linear():
     weights = pii.fitted(np.zeros((0, 1)), np.zeros(0, int))
     for t in ("1" * 200_000, "a" * 200_000 + "@", "a@" * 50_000, "1." * 50_000):

@@ -15,8 +15,9 @@ labels with a belief of `BELIEF` become spans, if no base span of the same kind
 
 Equal contents are one star of edges around their first node, and similar contents are joined through
 their common key, so a token repeated n times has n edges, not n x n. The own potentials are trained
-on a bounded sample of documents, with the base spans as labels and their patterns' tell-tale
-features hidden from the model in half of the cases.
+on the first `SAMPLE` distinct texts by hash, and of each on at most `CANDIDATES` candidates by hash
+from all over the text, with the base spans as labels and their patterns' tell-tale features hidden
+from the model in half of the cases.
 
 Defined results: a null text is empty and has no spans; equal texts have equal spans; offsets are in
 code points, ends exclusive.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,9 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 BELIEF = 0.9
 ROUNDS = 8
-#: Bound of the documents that the field's weights are fitted on.
+#: Bound of the distinct texts that the field's weights are fitted on, and of the candidates of each.
 SAMPLE = 2_000
+CANDIDATES = 64
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -248,21 +251,28 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
-def _examples(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _examples(parts: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         rows = []
         for text in pdf["text"].tolist():
-            for k, (a, b, kind) in enumerate(_candidates(text, base(text))[:64]):
+            nodes = _candidates(text, base(text))
+            if len(nodes) > most:
+                nodes = sorted(sorted(nodes, key=lambda s: (zlib.crc32(f"{s[0]} {text[s[0] : s[1]]}".encode()), s))[:most])
+            for k, (a, b, kind) in enumerate(nodes):
                 rows.append((kind, _features(text, a, b, k % 2 == 0).tobytes()))
         yield pd.DataFrame(rows, columns=["kind", "x"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The field's weights, from the base spans of about `sample` documents that have a digit or an @."""
+def fit(docs: DataFrame, sample: int = SAMPLE, candidates: int = CANDIDATES) -> np.ndarray:
+    """The field's weights, from `sample` distinct texts with a digit or an @, at most `candidates` of each."""
     texts = docs.select(column(docs, "text", "string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    total = docs.count()
-    drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1 << 20, (1 << 20) * sample // max(total, 1) + 1))
-    rows = sorted((r.kind, r.x) for r in drawn.mapInPandas(_examples, "kind int, x binary").limit(64 * sample).collect())
+    hashed = texts.withColumn("draw", F.xxhash64("text"))
+    # Copies count once; the hashes alone tell where the sample ends.
+    last = hashed.select("draw").distinct().orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
+    if last is None:
+        return fitted(np.zeros((0, _N_FEATURES)), np.zeros(0, int))
+    drawn = hashed.filter(F.col("draw") <= last).groupBy("draw").agg(F.first("text").alias("text")).select("text")
+    rows = sorted((r.kind, r.x) for r in drawn.mapInPandas(lambda parts: _examples(parts, candidates), "kind int, x binary").collect())
     return fitted(np.array([np.frombuffer(x) for _, x in rows]).reshape(-1, _N_FEATURES), np.array([k for k, _ in rows], int))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,14 @@ def test_quality(docs, labels):
     assert share_right(out, labels, "quality") > 0.92
 
 
+def test_words_of_one_row_have_their_own_index_vectors():
+    words = [f"w{k}" for k in range(40_000)]
+    row = quality._row(quality._hashed([" ".join(words).encode()], [0])[1])
+    same = [w for w, r in zip(words, row.tolist(), strict=True) if r == np.bincount(row).argmax()]
+    sums = [quality.contexts([f"{w} middle".encode()])[0] for w in same]
+    assert len(same) > 3 and len({s.tobytes() for s in sums}) > 1
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_odd_rows(spark, module):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")

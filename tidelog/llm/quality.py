@@ -1,8 +1,9 @@
 """Quality classifier: random-indexing word vectors, a two-layer network, calibrated probabilities.
 
-Every word is hashed into one of `WORDS` rows. A row's index vector has one +1 and one -1 among
-`WIDTH` places, from the hash. A row's word vector is the sum of the index vectors of the words at
-most two places away, over all occurrences in all documents; it is centred and normalised. A document
+A word's index vector has one +1 and one -1 among `WIDTH` places, from its own hash. Word vectors are
+folded: every word is hashed into one of `WORDS` rows, and the words of a row share its vector and
+rarity. A row's vector is the sum of the index vectors of the words at most two places away, over all
+occurrences in all documents; it is centred and normalised. A document
 is the mean of its words' vectors, weighted by how rare the word's row is, next to `SHAPE` figures of
 its text. A network of one hidden layer, trained on a bounded sample of labelled rows, gives a logit;
 a temperature, fitted on a part of the sample that the network has not seen, makes it a probability.
@@ -25,7 +26,7 @@ from tidelog.llm import hashing
 from tidelog.llm.common import column, held_out
 from tidelog.llm.labelled import sample_of
 
-WORDS = 4096
+WORDS = 16_384
 WIDTH = 64
 HIDDEN = 32
 #: Bound of the labelled rows that the network is trained on.
@@ -62,8 +63,9 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         _, values, _, _, owner, _ = _hashed(texts, numbers)
         row = _row(values)
         often += np.bincount(row, minlength=WORDS)
-        plus = ((row * 0x9E3779B1) >> 7) % WIDTH
-        minus = (plus + 1 + ((row * 0x85EBCA77) >> 9) % (WIDTH - 1)) % WIDTH
+        own = (hashing.mixed(values) >> np.uint64(1)).astype(np.int64)
+        plus = own % WIDTH
+        minus = (plus + 1 + (own >> 20) % (WIDTH - 1)) % WIDTH
         for gap in (1, 2):
             if len(row) <= gap:
                 continue

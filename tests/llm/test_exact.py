@@ -139,6 +139,30 @@ def test_near_copies_around_a_base(spark):
     assert listed(near_dedup.digest(docs)) == sorted(brute_components(rows, 4), key=str)
 
 
+@pytest.mark.parametrize("small", [3, near_dedup.SMALL])
+def test_large_buckets_are_split_exactly(spark, small):
+    """Families with substitutions, cuts and additions, and versions that follow one another."""
+    r = np.random.default_rng(8)
+    texts = []
+    for f in range(3):
+        base = [f"f{f}_{k}" for k in range(120)]
+        for k in range(40):
+            t = list(base)
+            for at in r.choice(120, r.integers(0, 8), replace=False):
+                t[at] = f"n{k}_{at}" if k % 3 else f"m{at % 4}"
+            texts.append(t[r.integers(0, 12) : 120 - r.integers(0, 12)] + [f"e{k % 5}_{x}" for x in range(r.integers(0, 14))])
+        for k in range(12):
+            base = [*base[2:], *(f"v{f}_{k}_{x}" for x in range(r.integers(1, 5)))]
+            texts.append(list(base))
+    ids = [-(1 << 63), (1 << 63) - 1, 1 << 62, (1 << 62) + 10, (1 << 62) + 11, -1, 0, None]
+    ids += [int(x) for x in r.integers(-(1 << 40), 1 << 40, len(texts) - len(ids))]
+    rows = [(d, " ".join(t)) for d, t in zip(r.permutation(np.array(ids, object)).tolist(), texts, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(brute_components(rows, 4), key=str)
+    assert listed(near_dedup.digest(docs, small=small)) == want
+    assert len({w[2] for w in want}) > 5
+
+
 def test_odd_sketches_tell_similarity():
     r = np.random.default_rng(6)
     for shared, total in ((90, 100), (80, 100), (50, 100)):

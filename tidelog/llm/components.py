@@ -5,22 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.storage import stored
+from tidelog.llm.storage import Tables
 
+#: A node with more than its share of all edges, `1 / HOT_SHARE` of them, is a hot one: at most
+#: 2 x `HOT_SHARE` nodes are, whatever the graph, so their table may be broadcast.
+HOT_SHARE = 128
+HOT_EDGES = 1000
 
-def _large(edges: DataFrame) -> DataFrame:
+
+def _with_least(ends: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """`ends` (u, v) with the `m` of u from `least` (u, m, degree): u and v swapped for v and m.
+
+    No task gets all the edges of a hot node, as they are joined where they lie."""
+    hot = F.broadcast(least.filter(F.col("degree") > limit).select("u", "m"))
+    there = ends.join(hot.withColumnRenamed("m", "hot_m"), "u", "left")
+    rest = there.filter("hot_m is null").join(least.filter(F.col("degree") <= limit).select("u", "m"), "u")
+    return there.filter("hot_m is not null").select(F.col("v").alias("u"), F.col("hot_m").alias("v")).unionByName(rest.select(F.col("v").alias("u"), F.col("m").alias("v")))
+
+
+def _large(edges: DataFrame, limit: int) -> DataFrame:
     """Hangs each node's larger neighbours on the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+    return _with_least(both.filter("v > u"), least, limit)
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, limit: int) -> DataFrame:
     """Hangs each node and its smaller neighbours on the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    return _with_least(down, least, limit).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -32,15 +46,32 @@ def _stars(edges: DataFrame) -> bool:
     return by_node.filter("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(u, v) links -> (u, v) with v the least node that u reaches, for all u but those least ones.
 
-    Each pass is a few aggregations and joins over the links; none gathers a node's neighbours, so a
-    node that all others are linked with needs no large task. The passes end when the links are
-    stars around their least nodes.
+    Each pass is a few aggregations and joins over the links; none gathers a node's neighbours, and a
+    hot node's links are not brought together for the join. The passes end when the links are stars
+    around their least nodes.
     """
+    tables = tables or Tables(edges.sparkSession)
     down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = stored(down.distinct())
-    while not _stars(edges):
-        edges = stored(_small(_large(edges)).distinct())
+    edges = tables.store(down.distinct())
+    total = edges.count()
+    limit = HOT_EDGES + total // HOT_SHARE
+    while total and not _stars(edges):
+        edges = tables.store(_small(_large(edges, limit), limit).distinct())
     return edges
+
+
+def merged(graph: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """The components of `graph`, which `components` gave, and more links: only the roots meet anew."""
+
+    def rooted(df: DataFrame, name: str) -> DataFrame:
+        at = graph.select(F.col("u").alias(name), F.col("v").alias("_root"))
+        return df.join(at, name, "left").withColumn(name, F.coalesce("_root", name)).drop("_root")
+
+    moved = components(rooted(rooted(links.select("u", "v"), "u"), "v"), tables).select(F.col("u").alias("v"), F.col("v").alias("_new"))
+    if moved.isEmpty():
+        return graph
+    followed = graph.join(moved, "v", "left").select("u", F.coalesce("_new", "v").alias("v"))
+    return tables.store(followed.unionByName(moved.select(F.col("v").alias("u"), F.col("_new").alias("v"))))

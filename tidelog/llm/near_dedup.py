@@ -8,19 +8,27 @@ one if there are fewer). Two documents are linked if 100 x intersection >= 80 x
    how many samples do. At a similarity of 0.8 a pair shares none of 30 bands of 4 with probability
    1.4e-7, and has more than `MOST_BITS` differing bits with 7.1e-8 (4.4e-9 at 0.81); at 0.7 one pair
    in seven has more.
-2. Documents with equal sets are one node from here on, named by the least doc_id.
-3. In each bucket, every node is a candidate for a link with the bucket's least node, if their
-   sketches allow it. Each node's best candidate is verified on the full sets.
-4. Buckets whose nodes are in different components by now: every node outside the bucket's largest
-   component is compared, by sketch, with all nodes of other components in the bucket, and what is
-   left is verified, best candidates first. So no link between components that share a bucket is
-   lost, and nodes that are already connected make no pairs.
-
-Nothing gathers a bucket in one task: buckets are aggregates and joins. Defined results: a text
-without words is empty and linked with nothing; rows with one doc_id count as one document for
-links; a null doc_id is no one's component_id: the component of null ids alone is null and `digest`
-keeps its rows. `dedup` leaves one row of every component, by node and text hash, whatever the ids; of
-texts without words it leaves every row.
+2. Documents with equal sets are one node from here on.
+3. Each bucket has a centre: its node that shares the most buckets with the most others. Every node
+   is compared with the centres of its buckets, by sketch and then on the full sets.
+4. Buckets of at most `SMALL` nodes whose nodes are in different components by now: pairs of different
+   components whose sketches allow it are verified.
+5. Larger ones are split, and the parts go through 3 to 5 again. Let c be the centre and x a node of
+   another component, so not linked with c. If z is linked with x, then either x and z share a
+   shingle that c lacks, and at least as many of those as x's similarity with c falls short; or
+   |z| <= 9/4 |x & c| - |x| < |c|, for 9 |x & z| >= 4 (|x| + |z|) and |x & z| <= |x & c|. So the parts
+   are, for each shingle among x's rarest ones beyond c, the nodes that have it; and the nodes small
+   enough for some such x, with those x. No link is lost, the centre is in no part, and a group whose
+   members differ from it each in its own way falls into parts of one.
+
+Every step is linear in a bucket's nodes: in 4 a node meets fewer than `SMALL` others of a bucket
+(twice as many at each further level). Nothing gathers a bucket in one task: buckets are aggregates
+and joins, and the text of a centre goes to as many partitions as its nodes fill.
+
+Defined results: a text without words is empty and linked with nothing; rows with one doc_id count as
+one document for links; ids may be any 64-bit numbers. A null doc_id is no one's component_id: the
+component of null ids alone is null and `digest` keeps its rows. `dedup` leaves one row of every
+component, by doc_id and text hash, whatever the ids; of texts without words it leaves every row.
 """
 
 from __future__ import annotations
@@ -28,15 +36,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import hashing
 from tidelog.llm.common import column, fresh, sliced
-from tidelog.llm.components import components
-from tidelog.llm.storage import stored
+from tidelog.llm.components import components, merged
+from tidelog.llm.storage import Tables
 
 WORDS = 4
 BANDS, ROWS = 30, 4
@@ -45,17 +52,16 @@ HASHES = 480
 BITS = 1024
 MOST_BITS = 235
 PERCENT = 80
-#: Candidate pairs per node that are verified at once; with more, the best ones go first.
-FEW = 4
+#: Nodes of a bucket that may meet in pairs; larger buckets are split.
+SMALL = 128
+#: Pairs with one centre that share a copy of its text.
+COPY = 256
 
 _random = np.random.default_rng(7_062_024)
 _FLIP = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _ODD = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64)
-_NULL_IDS = 1 << 62
-_SIGNED = pa.schema([
-    ("doc_id", pa.string()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("text_hash", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
-])
+_SIGNED = "doc_id long, n long, s1 long, s2 long, text_hash long, bands array<long>, sketch array<long>"
 
 
 def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -96,8 +102,8 @@ def sketches(mins: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for pdf in (b.to_pandas() for b in sliced(batches)):
-        sets = list(shingles(pdf["text"].tolist(), words))
+    for batch in sliced(batches):
+        sets = list(shingles(batch.column(1).to_pylist(), words))
         n = np.array([len(s) for s in sets], np.int64)
         # The last row is no document's: it keeps the arrays from being empty.
         mins = np.array([samples(s) for s in sets if len(s)] + [np.zeros(HASHES, np.uint32)])
@@ -105,16 +111,10 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
         bands = hashing.mixed(hashing.mixed(band).sum(axis=2, dtype=np.uint64)).view(np.int64)
         odd = sketches(mins)
         at = np.where(n > 0, np.cumsum(n > 0) - 1, len(mins) - 1)
-        out = pd.DataFrame({
-            "doc_id": pdf["doc_id"].to_numpy(),
-            "n": n,
-            "s1": np.array([int(hashing.mixed(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64),
-            "s2": np.array([int(np.bitwise_xor.reduce(hashing.mixed(s ^ np.uint64(0x5BF0_3635)))) if len(s) else 0 for s in sets], np.uint64).view(np.int64),
-            "text_hash": pdf["text_hash"].to_numpy(),
-            "bands": list(bands[at]),
-            "sketch": list(odd[at]),
-        })
-        yield pa.RecordBatch.from_pandas(out, _SIGNED, preserve_index=False)
+        s1 = np.array([int(hashing.mixed(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
+        s2 = np.array([int(np.bitwise_xor.reduce(hashing.mixed(s ^ np.uint64(0x5BF0_3635)))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        columns = [batch.column(0), pa.array(n), pa.array(s1), pa.array(s2), batch.column(2), pa.array(list(bands[at]), pa.list_(pa.int64())), pa.array(list(odd[at]), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "text_hash", "bands", "sketch"])
 
 
 def _apart() -> Column:
@@ -123,136 +123,186 @@ def _apart() -> Column:
     return sum(bits[1:], bits[0])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose full sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (u, v, size, more) of nodes, v the one that up to `size` others have too -> (u, v, nu, nv,
+    both, extra): the sizes of their sets and of the intersection, and with `more` the shingles that
+    u has and v lacks."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            pdf = batch.to_pandas()
-            keep = []
-            held: dict[str, np.ndarray] = {}
-            wanted = list(dict.fromkeys([*pdf["a"], *pdf["b"]]))
-            for t, s in zip(wanted, shingles(wanted, words), strict=True):
+            us, vs = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            held = dict.fromkeys([*us, *vs])
+            for t, s in zip(held, shingles(list(held), words), strict=True):
                 held[t] = s
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                x, y = held[a], held[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            rows = [(held[a], held[b]) for a, b in zip(us, vs, strict=True)]
+            beyond = [np.setdiff1d(x, y, assume_unique=True) if more else None for (x, y), more in zip(rows, batch.column(2).to_pylist(), strict=True)]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) if d is None else len(x) - len(d) for (x, y), d in zip(rows, beyond, strict=True)]
+            extra = pa.array([None if d is None else d.view(np.int64) for d in beyond], pa.list_(pa.int64()))
+            sizes = [pa.array([len(r[k]) for r in rows], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(both, pa.int64()), extra], ["u", "v", "nu", "nv", "both", "extra"])
 
-    # Later rounds have few pairs: only their nodes' texts are moved.
-    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = texts.select("node", "text").join(needed, "node", "left_semi")
-    first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    return first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(of, "u long, v long")
+    copies = pairs.withColumn("copies", 1 + F.floor(F.col("size") / COPY).cast("int")).withColumn("salt", F.pmod(F.xxhash64("u"), F.col("copies")).cast("int"))
+    # Only the texts of these nodes are moved; a centre's text goes to each of its salts.
+    first = copies.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    salts = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
+    second = copies.groupBy("v").agg(F.max("copies").alias("copies")).join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("v", salts, "b")
+    met = first.join(second, ["v", "salt"]).select("u", "v", "more", "a", "b")
+    return met.mapInArrow(of, "u long, v long, nu long, nv long, both long, extra array<long>")
 
 
-def labelled(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def _similar() -> Column:
+    return 100 * F.col("both") >= PERCENT * (F.col("nu") + F.col("nv") - F.col("both"))
+
+
+def labelled(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) for each row of `docs`."""
-    component_id = F.when(F.col("root") < _NULL_IDS, F.col("root")).alias("component_id")
-    return _rooted(docs, words).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component_id)
+    rooted = _rooted(docs, words, small)
+    least = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    some = rooted.filter("n > 0").join(least, "root").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
+    alone = rooted.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.unionByName(alone)
 
 
-def _rooted(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, n, node, root) for each row of `docs`; rows of one component have one root."""
+def _rooted(docs: DataFrame, words: int, small: int) -> DataFrame:
+    """(doc_id, text_hash, n, root) for each row of `docs`; rows of one component have one root."""
+    tables = Tables(docs.sparkSession)
     read = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    keyed = read.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    schema = "doc_id string, n long, s1 long, s2 long, text_hash long, bands array<long>, sketch array<long>"
-    signed = keyed.mapInArrow(lambda batches: _signed(batches, words), schema)
-    # A null id's node is above all ids, and the same for equal sets.
-    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_IDS) + F.pmod("s1", F.lit(_NULL_IDS)))
-    signed = stored(signed.withColumn("node", node))
+    signed = tables.store(read.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lambda batches: _signed(batches, words), _SIGNED))
     some = signed.filter("n > 0")
-    classes = stored(some.groupBy("s1", "s2", "n").agg(
-        F.min(F.struct("node", "text_hash")).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
-    ).select("s1", "s2", "n", "least.node", "least.text_hash", "bands", "sketch"))
-    graph = _graph(classes, read, _same_id(signed), words)
-    component = some.join(classes.select("s1", "s2", "n", F.col("node").alias("class")), ["s1", "s2", "n"]).join(
-        graph.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left"
-    ).select("doc_id", "text_hash", "n", "node", F.coalesce("root", "class").alias("root"))
-    alone = signed.filter("n = 0").select("doc_id", "text_hash", "n", "node", F.col("doc_id").cast("long").alias("root"))
-    return component.unionByName(alone).withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
-def _same_id(signed: DataFrame) -> DataFrame:
+    # The number of a class is any; it is written before it is used.
+    grouped = some.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = tables.store(grouped.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "row.doc_id", "row.text_hash", "bands", "sketch"))
+    held = some.select("doc_id", "text_hash", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"])
+    work = Tables(docs.sparkSession)
+    graph = _graph(classes, read, _same_id(held), words, small, work)
+    work.clear(graph)
+    placed = held.join(graph.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    some = placed.select("doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
+    return some.unionByName(signed.filter("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root")))
+
+
+def _same_id(held: DataFrame) -> DataFrame:
     """Links between the classes that rows of one id are in; none where ids are unique."""
-    some = signed.filter("n > 0")
-    least = some.groupBy("s1", "s2", "n").agg(F.min("node").alias("class"))
-    other = some.groupBy("node").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a <> b").select("node")
-    return some.join(other, "node").join(least, ["s1", "s2", "n"]).select(F.col("node").alias("u"), F.col("class").alias("v")).distinct()
+    several = held.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last")
+    return held.join(several, "doc_id").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int) -> DataFrame:
+def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int, small: int, tables: Tables) -> DataFrame:
     """The components of the classes, as `components` gives them, from `links` and all similar pairs."""
-    banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    lead = banded.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last").select("key", "v")
-    # From here on only nodes that share a bucket; their texts are fetched once.
-    shared = stored(banded.join(lead, "key"))
-    nodes = shared.select("node").distinct().join(classes.select("node", "text_hash", "sketch", "bands"), "node")
-    id_of = F.when(F.col("node") < _NULL_IDS, F.col("node"))
-    same_text = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("text_hash_"))
-    all_texts = read.select(F.col("doc_id").alias("id_"), "text", F.xxhash64("text").alias("text_hash_"))
-    found = nodes.withColumn("id", id_of).join(all_texts, same_text)
+    banded = classes.select("node", F.explode("bands").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = tables.store(banded.join(sizes, "key"))
+    weights = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    nodes = tables.store(weights.join(classes.select("node", "n", "s1", "sketch", "doc_id", "text_hash"), "node"))
+    same_row = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
+    all_texts = read.select(F.col("doc_id").alias("id_"), "text", F.xxhash64("text").alias("hash_"))
+    found = nodes.select("node", F.col("doc_id").alias("id"), "text_hash").join(all_texts, same_row)
     # Equal rows have one text; any of them will do.
-    one = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("node"))
-    texts = stored(found.withColumn("one", one).filter("one = 1").select("node", "sketch", "bands", "text"))
-    sketches_of = texts.select("node", "sketch")
-
-    pairs = shared.filter("node > v").select(F.col("node").alias("u"), "v").distinct()
-    first_of, second_of = sketches_of.withColumnRenamed("node", "u"), sketches_of.withColumnsRenamed({"node": "v", "sketch": "other"})
-    near = pairs.join(first_of, "u").join(second_of, "v").withColumn("apart", _apart()).filter(F.col("apart") <= MOST_BITS)
-    best = near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", "best.v")
-    tried = stored(best)
-    graph = components(links.unionByName(_verified(tried, texts, words)))
-
-    for last_round in (False, True):
-        root = graph.withColumnsRenamed({"u": "node", "v": "root"})
-        placed = stored(shared.select("node", "band", "key").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        # What a bucket has of each component; buckets of one component are done.
-        held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-        mixed = held.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        members = placed.join(mixed.select("key", "main"), "key").join(texts.select("node", "sketch", "bands"), "node")
-        strays = members.filter("root <> main").select(
-            F.col("key").alias("s_key"), F.col("node").alias("s"), F.col("root").alias("s_root"), F.col("sketch").alias("other"), F.col("bands").alias("s_bands")
-        )
-        # A stray is paired with the main component's nodes, and once with each other stray, as far
-        # as their sketches allow, in the first bucket that both are in: the join puts out no more.
-        met_before = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("band")), F.slice("s_bands", F.lit(1), F.col("band")))
-        allowed = (F.col("key") == F.col("s_key")) & (F.col("root") != F.col("s_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("s"))) & (_apart() <= MOST_BITS) & ~met_before
-        met = members.join(strays, allowed).withColumn("apart", _apart())
-        pairs = met.select(F.greatest("node", "s").alias("u"), F.least("node", "s").alias("v"), "s", "root", "apart").distinct()
-        pairs = stored(pairs.join(tried, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        # Where there are many pairs, the best of each stray and component may settle the others.
-        all_of_them = last_round or pairs.count() <= FEW * texts.count()
-        if all_of_them:
-            chosen = pairs.select("u", "v").distinct()
-        else:
-            first = Window.partitionBy("s", "root").orderBy("apart", "u", "v")
-            chosen = pairs.withColumn("r", F.row_number().over(first)).filter("r = 1").select("u", "v").distinct()
-        chosen = stored(chosen)
-        links = stored(_verified(chosen, texts, words))
-        if not links.isEmpty():
-            graph = components(graph.unionByName(links))
-        if all_of_them:
-            break
-        tried = tried.unionByName(chosen)
-    return graph
-
-
-def digest(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    one = F.row_number().over(Window.partitionBy("id_", "hash_").orderBy("node"))
+    texts = tables.store(found.withColumn("one", one).filter("one = 1").select("node", "text"))
+    nodes = nodes.select("node", "weight", "n", "s1", "sketch")
+    graph = components(links, tables)
+
+    while True:
+        placed = tables.store(_centred(buckets, nodes))
+        asked = placed.filter(F.col("node") != F.col("c")).filter((F.col("apart") <= MOST_BITS) | (F.col("size") > small))
+        pairs = asked.groupBy(F.col("node").alias("u"), F.col("c").alias("v")).agg(F.max("size").alias("size"), (F.max("size") > small).alias("more"))
+        compared = tables.store(_compared(pairs, texts, words))
+        graph = merged(graph, compared.filter(_similar()), tables)
+        mixed = tables.store(_mixed(placed, graph))
+        if mixed.isEmpty():
+            return graph
+        few = mixed.filter(F.col("size") <= small).join(nodes.select("node", "sketch"), "node")
+        pairs = tables.store(_across(few))
+        if not pairs.isEmpty():
+            graph = merged(graph, _compared(pairs, texts, words).filter(_similar()), tables)
+        large = mixed.filter(F.col("size") > small)
+        if large.isEmpty():
+            return graph
+        alive = tables.store(_beyond(large, compared))
+        buckets = tables.store(_parts(alive, large, compared))
+        if buckets.isEmpty():
+            return graph
+        small *= 2
+
+
+def _centred(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, size, n, c, apart): each node of a bucket, its centre, and how far their sketches differ."""
+    rows = buckets.join(nodes, "node")
+    centres = rows.groupBy("key").agg(F.max_by("node", F.struct("weight", "s1", "node")).alias("c"))
+    centres = centres.join(nodes.select(F.col("node").alias("c"), F.col("sketch").alias("other")), "c")
+    return rows.join(centres, "key").select("key", "node", "size", "n", "c", _apart().alias("apart"))
+
+
+def _mixed(placed: DataFrame, graph: DataFrame) -> DataFrame:
+    """The rows but centres of buckets that have other components than one beside the centre, with
+    their `root` and whether it isn't the centre's (`stray`)."""
+    rooted = placed.join(graph.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    centre = F.col("node") == F.col("c")
+    roots = [f(F.when(~centre, F.col("root"))).alias(name) for f, name in ((F.min, "least"), (F.max, "most"))]
+    several = rooted.groupBy("key").agg(*roots, F.max(F.when(centre, F.col("root"))).alias("c_root")).filter("least < most").select("key", "c_root")
+    return rooted.filter(~centre).join(several, "key").select("key", "node", "size", "n", "c", "root", (F.col("root") != F.col("c_root")).alias("stray"))
+
+
+def _across(few: DataFrame) -> DataFrame:
+    """The pairs of different components in buckets of bounded size, as far as their sketches allow."""
+    one = few.select("key", F.col("node").alias("u"), F.col("root").alias("u_root"), "sketch")
+    two = few.select("key", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("sketch").alias("other"))
+    met = one.join(two, "key").filter((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & (_apart() <= MOST_BITS))
+    return met.select("u", "v").distinct().select("u", "v", F.lit(1).alias("size"), F.lit(False).alias("more"))
+
+
+def _split(large: DataFrame, compared: DataFrame) -> DataFrame:
+    """Each node of large buckets with its centre, and how they compare: (c, node, root, stray, nu, both, extra, lo)."""
+    of = large.select("c", "node", "root", "stray").distinct()
+    least = large.groupBy("c").agg(F.min("n").alias("lo"))
+    return of.join(compared.withColumnsRenamed({"u": "node", "v": "c"}), ["c", "node"]).join(least, "c")
+
+
+def _beyond(large: DataFrame, compared: DataFrame) -> DataFrame:
+    """(c, s, node, root, chosen): each shingle s beyond the centre that nodes of several components
+    have; `chosen` where it is one of those by which a stray must be found.
+
+    A stray has to share `t` of its extra shingles with whatever it is linked with, so all but t - 1
+    of them will do; those that no other component has come first, then the rarest."""
+    # What is linked has 0.8 of the stray's shingles at least.
+    low = F.greatest("lo", F.ceil(F.col("nu") * 4 / 5))
+    t = F.greatest(F.lit(1), F.ceil((4 * (F.col("nu") + low) - 9 * F.col("both")) / 9))
+    spread = _split(large, compared).select("c", "node", "root", "stray", F.size("extra").alias("extras"), (F.size("extra") - t + 1).alias("enough"), F.explode("extra").alias("s"))
+    held = spread.groupBy("c", "s").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("c", "s", "held")
+    alive = spread.join(held, ["c", "s"])
+    own = Window.partitionBy("c", "node")
+    rank = F.row_number().over(own.orderBy("held", "s"))
+    dead = F.col("extras") - F.count(F.lit(1)).over(own)
+    return alive.select("c", "s", "node", "root", (F.col("stray") & (rank <= F.col("enough") - dead)).alias("chosen"))
+
+
+def _parts(alive: DataFrame, large: DataFrame, compared: DataFrame) -> DataFrame:
+    """The buckets (key, node, size) that large ones fall into."""
+    chosen = alive.filter("chosen").select("c", "s").distinct()
+    shared = alive.select("c", "s", "node", "root").join(chosen, ["c", "s"]).select(F.xxhash64("c", "s").alias("key"), "node", "root")
+    most = F.when(F.col("stray"), F.floor(9 * F.col("both") / 4) - F.col("nu"))
+    sized = _split(large, compared).select("c", "node", "root", "nu", most.alias("most"))
+    limits = sized.groupBy("c").agg(F.min("nu").alias("lo"), F.max("most").alias("hi")).filter("lo <= hi")
+    small = sized.join(limits, "c").filter("nu <= hi or most >= lo").select(F.xxhash64("c", F.lit("small")).alias("key"), "node", "root")
+    rows = shared.unionByName(small).distinct()
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key", "size")
+    return rows.join(several, "key").select("key", "node", "size")
+
+
+def digest(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFrame:
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return labelled(docs, words).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    return labelled(docs, words, small).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def dedup(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFrame:
     """The rows of `docs` without near-duplicates: one row of each component, all rows without words."""
     key, text, part, one = (fresh(docs, n) for n in ("_n_id", "_n_hash", "_n_part", "_n_one"))
-    rooted = _rooted(docs, words).withColumn("_k_empty", F.col("n") == 0)
-    least = F.min(F.struct("node", "text_hash", "doc_id")).alias("least")
-    some = rooted.filter("n > 0").groupBy("root", "_k_empty").agg(least).select("least.doc_id", "least.text_hash", "_k_empty")
-    stay = some.unionByName(rooted.filter("n = 0").select("doc_id", "text_hash", "_k_empty").distinct()).withColumnsRenamed({"doc_id": "_k_id", "text_hash": "_k_hash"})
+    rooted = _rooted(docs, words, small)
+    # A null id is a component's row only where it has no other.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("least")
+    some = rooted.filter("n > 0").groupBy("root").agg(least).select("least.doc_id", "least.text_hash", F.lit(False).alias("_k_empty"))
+    stay = some.unionByName(rooted.filter("n = 0").select("doc_id", "text_hash", F.lit(True).alias("_k_empty")).distinct()).withColumnsRenamed({"doc_id": "_k_id", "text_hash": "_k_hash"})
     keyed = docs.withColumns({key: column(docs, "doc_id", "long"), text: F.xxhash64(column(docs, "text", "string"))})
     left = keyed.join(stay, F.col(key).eqNullSafe(F.col("_k_id")) & (F.col(text) == F.col("_k_hash")))
     # Equal rows become one; rows without words are each a part of their own.

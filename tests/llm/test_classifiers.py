@@ -64,6 +64,25 @@ def test_toxic_words_are_found_and_clean_texts_left(spark, docs, labels):
     assert scores[0] > 0.9 and max(scores[1:]) < 0.3
 
 
+def test_label_model_reads_votes_not_labels(spark, docs, labels):
+    """Labels that are wrong in three of ten rows change nothing much; voters that repeat one count once."""
+    known = toxicity.training_labels(labels).withColumn("label", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) < 3, 1 - F.col("label")).otherwise(F.col("label")))
+    model = toxicity.fit(docs, known)
+    rows = docs.join(labels.filter("toxic is not null"), "doc_id").select("text", "toxic").collect()
+    truth = np.array([r.toxic for r in rows])
+    assert ((model.scores([r.text for r in rows]) >= 0.5) == truth).mean() > 0.93
+
+    r = np.random.default_rng(1)
+    y = r.random(3000) < 0.3
+    say = lambda p, q: np.where(r.random(3000) < np.where(y, p, q), 1, -1)
+    good, bad = [say(0.85, 0.15) for _ in range(4)], say(0.5, 0.45)
+    # Eight echoes of one poor voter: counted as independent they would outvote the others.
+    votes = np.stack([*good, *[np.where(r.random(3000) < 0.97, bad, -bad) for _ in range(8)]], axis=1).astype(np.int8)
+    found = toxicity.LabelModel(votes, 1, np.ones(3000), 0.3)
+    assert ((found.posterior > 0.5) == y).mean() > 0.9
+    assert sum(j > 3 and p > 3 for j, p in found.tree) == 7
+
+
 def test_quality(docs, labels):
     out = quality.digest(docs, labels)
     assert share_right(out, labels, "quality") > 0.92

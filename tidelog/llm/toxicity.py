@@ -1,17 +1,21 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-Voters look for one word each (`LEXICON`, and words that go with label 1 in a bounded sample of
-labelled rows far beyond chance) or for a pattern of the text; a voter says toxic, clean or nothing.
-The sample's label is one more voter, as annotators err too. The label model has a class prior and
-each voter's rates of saying toxic or clean by class, fitted by EM from the labels on; between
-rounds it takes the correlations that voters have within a class, and a voter's evidence is divided
-by what others repeat of it. Its posteriors are the targets of a logistic regression over the votes
-and the text's shape, which then scores every document without any label.
+A voter looks for one word of `LEXICON` (which has a list for each of four languages) or for a pattern
+of the text; it says toxic, clean or nothing, and reads no label. The label model is a mixture of two
+classes; within a class each voter's say depends on one other voter's, so voters that repeat one
+another count once. It estimates the voters' accuracies (their rates by class), the tree of the
+strongest correlations within the classes and the rates along it by EM, from the votes alone,
+beginning with what the lexicon's voters say. Labels give the
+share of class 1 to begin with. The posteriors are the targets
+of a logistic regression over the votes and the text's shape, whose slope and offset are calibrated on
+labels at the end; it scores every document without any label.
 
 Rows of the sample that are copies of one another (same least 3-word shingle) weigh one row together.
+Executors turn the sample's texts into votes; the driver gets some hundred bytes a row.
 
-Defined results: a null or empty text gets the score of a text without words; with no labelled rows
-only the fixed voters speak, at fixed rates. Null labels are not learned from.
+Defined results: a null or empty text gets the score of a text without words; with fewer than `LEAST`
+labelled rows only the lexicon speaks, at fixed rates. Null labels are not learned from, and equal
+texts have equal scores, whatever their columns. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -19,22 +23,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import hashing
-from tidelog.llm.common import column, filtered, held_out
+from tidelog.llm.common import column, filtered, held_out, sliced
 from tidelog.llm.labelled import sample_of
 
-#: Words that insult; fixed values.
-LEXICON = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
-#: Bound of the labelled rows that voters, label model and classifier are fitted on.
+#: Words that insult, by language; fixed values.
+LEXICON = {
+    "en": ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown"),
+    "de": ("idiot", "dumm", "trottel", "versager", "abschaum", "erbärmlich", "wertlos", "widerlich", "depp", "dreckskerl"),
+    "fr": ("idiot", "stupide", "crétin", "minable", "ordure", "pathétique", "débile", "dégueulasse", "abruti", "imbécile"),
+    "es": ("idiota", "estúpido", "imbécil", "perdedor", "escoria", "basura", "patético", "inútil", "asqueroso", "payaso"),
+}
+#: Bound of the labelled rows that label model and classifier are fitted on, and the least to fit on.
 SAMPLE = 10_000
-MOST_WORDS = 400
-#: Log odds, in nats, by which a word must beat chance, beside one per candidate word.
-SURPRISE = 4.0
-PATTERNS = ("shouting", "exclaiming", "calm", "no word")
+LEAST = 40
+#: Rows that the rate of a voter alone counts as, beside what its parent says.
+SHRINK = 30
+PATTERNS = ("several words", "word on word", "shouting", "exclaiming", "calm", "no word")
+FIGURES = 5
 _SPLIT = np.arange(256, dtype=np.uint8)
 _SPLIT[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
 
@@ -78,58 +88,88 @@ class Voters:
         """(votes 1, 0 or -1; features) by text: the features are the votes, hits and shape."""
         s = shape(texts)
         out = np.zeros((len(texts), len(self)), np.int8)
-        hits = np.zeros(len(texts))
+        hits, close = np.zeros(len(texts)), np.zeros(len(texts), bool)
         for numbers, values, bound in _words(texts):
             maybe = np.flatnonzero(self.maybe[values & np.uint64(0xFFFF)])
             if not len(maybe) or not len(self.words):
                 continue
             at = np.minimum(np.searchsorted(self.words, values[maybe]), len(self.words) - 1)
             here = self.words[at] == values[maybe]
-            text = np.array(numbers)[np.searchsorted(bound, maybe[here], side="right")]
+            place = maybe[here]
+            text = np.array(numbers)[np.searchsorted(bound, place, side="right")]
             out[text, at[here]] = 1
             hits += np.bincount(text, minlength=len(texts))
+            near = (np.diff(place) <= 20) & (text[1:] == text[:-1])
+            close[text[1:][near]] = True
         w = len(self.words)
-        out[:, w] = (s[:, 0] > 0.5) & (s[:, 2] > 1)
-        out[:, w + 1] = s[:, 1] > 0.3
-        out[:, w + 2] = -((s[:, 0] < 0.2) & (s[:, 1] < 0.05)).astype(np.int8)
-        out[:, w + 3] = -(hits == 0).astype(np.int8)
+        out[:, w] = (out[:, :w] == 1).sum(axis=1) > 1
+        out[:, w + 1] = close
+        out[:, w + 2] = (s[:, 0] > 0.5) & (s[:, 2] > 1)
+        out[:, w + 3] = s[:, 1] > 0.3
+        out[:, w + 4] = -((s[:, 0] < 0.2) & (s[:, 1] < 0.05)).astype(np.int8)
+        out[:, w + 5] = -(hits == 0).astype(np.int8)
         return out, np.column_stack((out, np.log1p(hits), hits / np.expm1(np.maximum(s[:, 2], np.log(2))) * 20, s))
 
 
+def _tree(dependence: np.ndarray) -> list[tuple[int, int]]:
+    """(voter, parent or -1) along the tree of the strongest dependences, parents first."""
+    m = len(dependence)
+    best, parent, left = np.full(m, -1.0), np.full(m, -1), set(range(m))
+    out = []
+    while left:
+        j = max(left, key=lambda k: (best[k], -k))
+        left.remove(j)
+        out.append((j, int(parent[j])))
+        closer = dependence[j] > best
+        best[closer], parent[closer] = dependence[j][closer], j
+    return out
+
+
 class LabelModel:
-    """P(class) and P(vote | class) per voter, with voters' correlations within a class."""
-
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 25) -> None:
-        v = np.column_stack((votes, 2 * labels - 1)).astype(np.int8)
-        said = [(v == x).astype(np.float32) for x in (-1, 0, 1)]
-        posterior = np.where(labels == 1, 0.9, 0.1)
-        self.share = np.ones(v.shape[1])
-        for k in range(rounds):
-            self.prior = (weight @ posterior + 1) / (weight.sum() + 2)
-            rates = []
+    """P(class) and P(vote | class, the parent's vote), by EM from the votes alone."""
+
+    #: What a voter says before anything is known: clean, nothing, toxic.
+    BEFORE = np.array([0.1, 0.8, 0.1])
+
+    def __init__(self, votes: np.ndarray, words: int, weight: np.ndarray, prior: float, rounds: int = 20) -> None:
+        n, m = votes.shape
+        said = (votes[:, :, None] == np.array([-1, 0, 1])).astype(np.float32).reshape(n, 3 * m)
+        posterior = np.where((votes[:, :words] == 1).any(axis=1), 0.9, 0.1)
+        self.prior, known = prior, weight.sum()
+        for _ in range(rounds):
+            # The share of class 1 given at first counts as much as all the votes.
+            self.prior = (weight @ posterior + known * prior) / (2 * known)
+            both = []
             for mass in (weight * (1 - posterior), weight * posterior):
-                r = np.stack([mass.astype(np.float32) @ s for s in said]).astype(float) + np.array([[0.1], [0.8], [0.1]])
-                rates.append(r / r.sum(axis=0))
-            evidence = np.log(rates[1]) - np.log(rates[0])
-            if k % 5 == 4:
-                self.share = 1 / (1 + self._repeated(v, posterior, weight))
-            logit = np.log(self.prior / (1 - self.prior)) + sum(s @ (e * self.share).astype(np.float32) for s, e in zip(said, evidence, strict=True))
+                both.append(((said * mass[:, None].astype(np.float32)).T @ said).astype(float).reshape(m, 3, m, 3))
+            self.tree = _tree(self._dependence(both))
+            logit = np.full(n, np.log(self.prior / (1 - self.prior)))
+            self.evidence = {}
+            for j, p in self.tree:
+                rates = []
+                for count in both:
+                    alone = np.diagonal(count[j, :, j, :]) + 10 * self.BEFORE
+                    alone = alone / alone.sum()
+                    # Beside a parent, shrunk towards the rate of the voter alone.
+                    given = count[j, :, p, :].T + SHRINK * alone if p >= 0 else np.tile(alone, (3, 1))
+                    rates.append(given / given.sum(axis=1, keepdims=True))
+                self.evidence[j] = np.log(rates[1]) - np.log(rates[0])
+                logit += self.evidence[j][votes[:, p] + 1 if p >= 0 else np.zeros(n, int), votes[:, j] + 1]
             posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        self.posterior, self.evidence = posterior, evidence
+        self.posterior = posterior
 
     @staticmethod
-    def _repeated(v: np.ndarray, posterior: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """How much of each voter's say others repeat: its positive correlations beyond the class."""
-        total = np.zeros((v.shape[1], v.shape[1]))
-        for mass in (weight * (1 - posterior), weight * posterior):
-            if mass.sum() < 5:
-                continue
-            x = (v - (mass @ v) / mass.sum()).astype(np.float32)
-            c = ((x * mass[:, None].astype(np.float32)).T @ x / mass.sum()).astype(float)
-            d = np.sqrt(np.maximum(np.diag(c), 1e-9))
-            total += mass.sum() / weight.sum() * np.where(np.outer(d, d) > 1e-6, c / np.outer(d, d), 0)
-        np.fill_diagonal(total, 0)
-        return np.maximum(total - 0.05, 0).sum(axis=1)
+    def _dependence(both: list[np.ndarray]) -> np.ndarray:
+        """The voters' mutual information within the classes, weighted by the classes' shares."""
+        total, m = np.zeros(both[0].shape[::2]), len(both[0])
+        mass = [np.trace(c[0, :, 0, :]) for c in both]
+        for count, share in zip(both, mass, strict=True):
+            p = count / max(share, 1e-9)
+            one = np.stack([np.diagonal(p[j, :, j, :]) for j in range(m)])
+            apart = one[:, :, None, None] * one[None, None, :, :]
+            ratio = np.log(np.maximum(p, 1e-12) / np.maximum(apart, 1e-12))
+            total += share / max(sum(mass), 1e-9) * np.where(p > 1e-12, p * ratio, 0).sum(axis=(1, 3))
+        return np.maximum(total, 0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -149,80 +189,88 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
+def _calibrated(logit: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset by which the logits fit the labels, near 1 and 0 if these say little."""
+    slope, offset = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(slope * logit + offset, -30, 30)))
+        g = np.array([weight @ ((p - labels) * logit) + (slope - 1), weight @ (p - labels) + offset])
+        v = weight * np.maximum(p * (1 - p), 1e-6)
+        h = np.array([[v @ logit**2 + 1, v @ logit], [v @ logit, v.sum() + 1]])
+        step = np.linalg.solve(h, g)
+        step /= max(1.0, np.abs(step).max())
+        slope, offset = max(slope - step[0], 0.05), offset - step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return slope, offset
+
+
 class Model:
-    def __init__(self, sample: list[tuple[str | None, int]], sets: list[tuple[np.ndarray, np.uint64]]) -> None:
-        """`sample`: texts and labels; `sets`: their distinct word hashes and least shingles."""
-        fixed = np.array([word_hash(x) for x in LEXICON], np.uint64)
-        labels = np.array([y for _, y in sample], np.int64)
-        if not len(labels) or labels.min() == labels.max():
-            self.voters = Voters(fixed)
+    def __init__(self, voters: Voters, votes: np.ndarray, x: np.ndarray, labels: np.ndarray, copies: np.ndarray) -> None:
+        """Votes, features, labels and copy groups of a sample, as `voters` gave them."""
+        self.voters = voters
+        if len(labels) < LEAST:
             # Fixed rates: a word is strong evidence, its absence is weak.
-            w = np.zeros(len(self.voters) + 6)
-            w[: len(self.voters.words)] = 5.0
-            w[-1] = -3.0
-            self.weights = w
+            self.weights = np.zeros(len(voters) + FIGURES + 1)
+            self.weights[: len(voters.words)] = 5.0
+            self.weights[-1] = -3.0
             return
-        _, group, size = np.unique(np.array([g for _, g in sets], np.uint64), return_inverse=True, return_counts=True)
+        _, group, size = np.unique(copies, return_inverse=True, return_counts=True)
         weight = 1 / size[group]
-        self.voters = Voters(np.concatenate((fixed, _telling([w for w, _ in sets], labels, weight))))
-        votes, x = self.voters.votes([t for t, _ in sample])
-        self.label_model = LabelModel(votes, labels, weight)
+        prior = (weight @ labels + 1) / (weight.sum() + 2)
+        self.label_model = LabelModel(votes, len(voters.words), weight, prior)
         self.weights = _logistic(x, self.label_model.posterior, weight)
+        slope, offset = _calibrated(x @ self.weights[:-1] + self.weights[-1], labels, weight)
+        self.weights *= slope
+        self.weights[-1] += offset
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = self.voters.votes(texts)[1] if texts else np.zeros((0, len(self.weights) - 1))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _telling(words: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Words more often in rows of label 1 than chance allows, given how many words there are."""
-    found = np.unique(np.concatenate([w for w, y in zip(words, labels, strict=True) if y == 1]))
-    toxic, every = np.zeros(len(found)), np.zeros(len(found))
-    if not len(found):
-        return found
-    for w, y, share in zip(words, labels, weight, strict=True):
-        at = np.minimum(np.searchsorted(found, w), len(found) - 1)
-        at = at[found[at] == w]
-        every[at] += share
-        toxic[at] += share * y
-    base = np.clip((weight @ labels) / weight.sum(), 1e-6, 1 - 1e-6)
-    share = np.clip(toxic / np.maximum(every, 1e-9), 1e-6, 1 - 1e-6)
-    gain = toxic * np.log(share / base) + (every - toxic) * np.log((1 - share) / (1 - base))
-    good = (share > 0.5) & (gain > np.log(len(found)) + SURPRISE)
-    best = np.argsort(-np.where(good, gain, -np.inf), kind="stable")[: min(MOST_WORDS, int(good.sum()))]
-    return found[best]
-
-
-def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        texts = pdf["text"].tolist()
-        words, least = [], []
-        for _, values, bound in _words(texts):
-            grams = hashing.grams(values, 3)
-            a = 0
-            for b in bound.tolist():
-                words.append(np.unique(values[a:b]).tobytes())
-                least.append(int(grams[a : b - 2].min() if b - a > 2 else values[a:b].sum(dtype=np.uint64)) >> 1)
-                a = b
-        yield pd.DataFrame({"text": texts, "label": pdf["label"].to_numpy(), "words": words, "least": least})
+def fixed_voters() -> Voters:
+    return Voters(np.array([word_hash(w) for words in LEXICON.values() for w in words], np.uint64))
+
+
+def _least(texts: list[str | None]) -> list[int]:
+    """A number for each text that its copies share: its least shingle of three words."""
+    out = [0] * len(texts)
+    for numbers, values, bound in _words(texts):
+        grams = hashing.grams(values, 3)
+        for k, a, b in zip(numbers, [0, *bound.tolist()], bound.tolist(), strict=False):
+            out[k] = int(grams[a : b - 2].min() if b - a > 2 else values[a:b].sum(dtype=np.uint64)) >> 1
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from about `sample` rows of `labels` (doc_id, label) and their texts."""
-    drawn = sample_of(docs, labels, sample).mapInPandas(_sets, "text string, label int, words binary, least long").limit(2 * sample)
-    rows = sorted(drawn.collect(), key=lambda r: (r.least, r.label, r.text or ""))
-    return Model([(r.text, r.label) for r in rows], [(np.frombuffer(r.words, np.uint64), np.uint64(r.least)) for r in rows])
+    voters = fixed_voters()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            texts = b.column(1).to_pylist()
+            votes, x = voters.votes(texts)
+            packed = [v.tobytes() + f.astype("<f4").tobytes() for v, f in zip(votes, x[:, len(voters) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(_least(texts), pa.int64()), pa.array(packed, pa.binary())], ["label", "least", "packed"])
+
+    drawn = sample_of(docs, labels, sample).mapInArrow(of, "label int, least long, packed binary").limit(2 * sample)
+    rows = sorted((r.least, r.label, bytes(r.packed)) for r in drawn.collect())
+    m = len(voters)
+    votes = np.array([np.frombuffer(p, np.int8, m) for _, _, p in rows], np.int8).reshape(-1, m)
+    figures = np.array([np.frombuffer(p, "<f4", offset=m) for _, _, p in rows], float).reshape(-1, FIGURES)
+    return Model(voters, votes, np.column_stack((votes, figures)), np.array([y for _, y, _ in rows], np.int64), np.array([g for g, _, _ in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of `docs`."""
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "score": model.scores(pdf["text"].tolist())})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    read = docs.select(column(docs, "doc_id", "string").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    return read.mapInPandas(of, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+    read = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
+    return read.mapInArrow(of, "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:

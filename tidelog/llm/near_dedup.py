@@ -157,8 +157,15 @@ def _similar() -> Column:
 def labelled(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) for each row of `docs`."""
     rooted = _rooted(docs, words, small)
-    least = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    some = rooted.filter("n > 0").join(least, "root").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
+    held = rooted.filter("n > 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root")
+    least = held.groupBy("root").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"))
+    # Of components with more than a 128th of all rows there are at most 128.
+    limit = 1000 + docs.count() // 128
+    large = F.broadcast(least.filter(F.col("size") > limit).select("root", F.struct("id").alias("found")))
+    there = held.join(large, "root", "left")
+    rest = there.filter("found is null").join(least.filter(F.col("size") <= limit).select("root", F.col("id").alias("component_id")), "root")
+    columns = ["doc_id", "text_hash", "n_shingles"]
+    some = there.filter("found is not null").select(*columns, F.col("found.id").alias("component_id")).unionByName(rest.select(*columns, "component_id"))
     alone = rooted.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(alone)
 

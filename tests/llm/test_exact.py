@@ -49,6 +49,20 @@ def test_suffix_array_dedup(spark, limits):
     assert listed(got) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("with_null", [True, False])
+def test_repeats_at_the_ends_of_the_ids(spark, with_null):
+    passage = " ".join(f"p{k}" for k in range(60))
+    ids = [(1 << 63) - 1, -(1 << 63), 1 << 62, *([None, None] if with_null else []), 0, (1 << 63) - 2]
+    rows = [(d, f"a{k} b{k} {passage if k else passage + ' end'} c{k}") for k, d in enumerate(ids)] + [(7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = [(d, *b) for (d, _), b in zip(rows, suffix_automaton.brute([t for _, t in rows]), strict=True)]
+    assert listed(suffix_automaton.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))) == sorted(words, key=str)
+    last = [((1 << 63) if d is None else d, t) for d, t in rows]
+    bytes_ = [(d, *b) for (d, _), b in zip(rows, suffix_array.brute(last), strict=True)]
+    got = suffix_array.dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long"), F.sha2("kept", 256))
+    assert listed(got) == sorted(bytes_, key=str) and sum(b[2] for b in bytes_) > 500
+
+
 def test_suffix_order():
     r = np.random.default_rng(2)
     for _ in range(300):

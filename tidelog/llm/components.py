@@ -13,24 +13,27 @@ HOT_SHARE = 128
 HOT_EDGES = 1000
 
 
-def _with_least(ends: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+def _with_least(ends: DataFrame, least: DataFrame, limit: int | None) -> DataFrame:
     """`ends` (u, v) with the `m` of u from `least` (u, m, degree): u and v swapped for v and m.
 
-    No task gets all the edges of a hot node, as they are joined where they lie."""
+    No task gets all the edges of a hot node, as they are joined where they lie. Without `limit`
+    there are too few edges for any."""
+    if limit is None:
+        return ends.join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     hot = F.broadcast(least.filter(F.col("degree") > limit).select("u", "m"))
     there = ends.join(hot.withColumnRenamed("m", "hot_m"), "u", "left")
     rest = there.filter("hot_m is null").join(least.filter(F.col("degree") <= limit).select("u", "m"), "u")
     return there.filter("hot_m is not null").select(F.col("v").alias("u"), F.col("hot_m").alias("v")).unionByName(rest.select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
-def _large(edges: DataFrame, limit: int) -> DataFrame:
+def _large(edges: DataFrame, limit: int | None) -> DataFrame:
     """Hangs each node's larger neighbours on the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
     return _with_least(both.filter("v > u"), least, limit)
 
 
-def _small(edges: DataFrame, limit: int) -> DataFrame:
+def _small(edges: DataFrame, limit: int | None) -> DataFrame:
     """Hangs each node and its smaller neighbours on the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
@@ -57,7 +60,7 @@ def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = tables.store(down.distinct())
     total = edges.count()
-    limit = HOT_EDGES + total // HOT_SHARE
+    limit = HOT_EDGES + total // HOT_SHARE if total > HOT_EDGES else None
     while total and not _stars(edges):
         edges = tables.store(_small(_large(edges, limit), limit).distinct())
     return edges

@@ -384,13 +384,27 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _unused(rows: DataFrame) -> int:
+    """A number that no row has as its id: there are more numbers than rows."""
+    random = np.random.default_rng(20_250_101)
+    while True:
+        some = random.integers(-(1 << 62), 1 << 62, 64).tolist()
+        taken = {r.doc_id for r in rows.filter(F.col("doc_id").isin(some)).select("doc_id").distinct().collect()}
+        if free := [x for x in some if x not in taken]:
+            return free[0]
+
+
 def removed(docs: DataFrame, unit: Unit, index, remove, finish, schema: str, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_batches: int = HOT_BATCHES) -> DataFrame:
-    """One row (doc_id, *schema) for each row of `docs`, with what `finish` makes of its spans."""
-    # A null id comes after all others.
-    rows = docs.select(F.coalesce(column(docs, "doc_id", "long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 1), F.lit(1)).alias("n")).first()["n"]
-    batches, buckets = 1 + total // batch_bytes, 1 + total // bucket_bytes
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("_batch"), "doc_id", "text")
+    """One row (doc_id, *schema) for each row of `docs`, with what `finish` makes of its spans.
+
+    A null id comes after all others: within, it is the greatest number. If a row has that number as
+    its id, the ids above some unused number move down by one until the end."""
+    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
+    seen = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 1), F.lit(1)).alias("n"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
+    batches, buckets = 1 + seen["n"] // batch_bytes, 1 + seen["n"] // bucket_bytes
+    gap = _unused(rows) if seen["nulls"] and seen["last"] == _NO_ID else _NO_ID
+    inner = F.when(F.col("doc_id") > gap, F.col("doc_id") - 1).otherwise(F.coalesce("doc_id", F.lit(_NO_ID)))
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("_batch"), inner.alias("doc_id"), "text")
     by_batch = dealt.groupBy("_batch")
     anchors = by_batch.applyInPandas(_anchors(unit, buckets), _ROUTE)
     shared = anchors.groupBy("bucket").applyInPandas(_shared(hot_batches), _ROUTE)
@@ -398,4 +412,7 @@ def removed(docs: DataFrame, unit: Unit, index, remove, finish, schema: str, bat
     judged = sent.groupBy("bucket").applyInPandas(_judge(unit, index), _ROUTE)
     told = shared.unionByName(judged)
     cut = by_batch.cogroup(told.groupBy("_batch")).applyInPandas(_cut(unit, remove, finish), f"doc_id long, {schema}")
-    return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
+    if not seen["nulls"]:
+        return cut
+    outer = F.nullif("doc_id", F.lit(_NO_ID))
+    return cut.withColumn("doc_id", F.when(outer >= gap, outer + 1).otherwise(outer))

@@ -12,7 +12,7 @@ from tidelog.plans.rules import Rule
 from tidelog.queries import KEY, SIDS, log, planned
 from tidelog.sources.changelog import full_images
 from tidelog.streaming.folders import Folder
-from tidelog.streaming.runner import Runner, fold_of, in_files
+from tidelog.streaming.runner import Runner, in_files, run_to_state
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,7 +62,7 @@ def test_stream_survives_a_failure(spark, final):
     source = log(spark, SF)
     in_files(source, folder.at("source"), 5)
     plan = planned("select * from orders where o_orderstatus = 'F'")
-    runner = Runner(spark, folder, fold_of(plan), plan.key, compact_every=2)
+    runner = Runner(spark, folder, plan, compact_every=2)
     whole = runner.apply
 
     def failing(batch, batch_id):
@@ -81,13 +81,45 @@ def test_stream_survives_a_failure(spark, final):
     assert runner.dead_letters() is None
 
 
+ROW = "struct<id:long,part:long,grp:string,cents:long>"
+
+
+def _small_log(spark, many):
+    rows = [(k, k // 3, "shop", "t" if k % 5 else "u", "row", (k % 7, k % 2, None if k % 3 else "g", k)) for k in range(many)]
+    return spark.createDataFrame(rows, f"seq long, txn_id long, db string, tbl string, kind string, after {ROW}").withColumn("before", F.lit(None).cast(ROW))
+
+
+@pytest.mark.parametrize(("text", "key"), [
+    ("select id as number, part, cents from t", ("number", "part")), ("select id + 10 * part as code, grp from t", ("code",)),
+    ("select grp, count(*) as c, sum(cents) as s from t group by grp", ("grp",)), ("select id, grp from t group by id, grp", ()), ("select grp, cents from t", ()),
+])
+def test_streams_equal_batches(spark, text, key):
+    """Aliased, computed and composite keys, null groups, tables without a key, beside another table's rows."""
+    from tidelog.operators.state import applied
+    from tidelog.plans.table_plan import TablePlan
+
+    source = _small_log(spark, 60)
+    plan = TablePlan.of(text, source.schema["after"].dataType, key)
+    assert rows(run_to_state(spark, source, plan, 4)) == rows(applied(plan, source)) == rows(applied(plan, source.filter("tbl = 't'")))
+
+
+def test_stop_takes_whole_transactions(spark):
+    folder, source = Folder.fresh(spark, "stop"), _small_log(spark, 60)
+    in_files(source, folder.at("source"), 5)
+    from tidelog.plans.table_plan import TablePlan
+
+    runner = Runner(spark, folder, TablePlan.of("select cents from t", source.schema["after"].dataType, ("cents",)), compact_every=2)
+    runner.run(folder.at("source"), source.schema, stop=31)
+    assert runner.state().agg(F.max("cents")).first()[0] == 32 and len(runner._live()) < 5
+
+
 def test_bad_rows_become_dead_letters(spark):
     folder = Folder.fresh(spark, "letters")
     good = log(spark, SF).limit(20)
     bad = good.limit(1).withColumn("after", F.lit(None).cast(good.schema["after"].dataType)).withColumn("before", F.lit(None).cast(good.schema["before"].dataType))
     good.unionByName(bad).coalesce(1).write.parquet(folder.at("source"))
     plan = planned("select * from orders")
-    runner = Runner(spark, folder, fold_of(plan), plan.key)
+    runner = Runner(spark, folder, plan)
     runner.run(folder.at("source"), good.schema)
     assert [r.fault for r in runner.dead_letters().collect()] == ["partial row image"]
     with pytest.raises(ValueError, match="partial row image"):

@@ -88,6 +88,21 @@ def ddl_matters(rules: list[Rule], dbname: str, statement: str) -> bool:
     return not wanted or any(route(rules, dbname, n) for n in wanted)
 
 
+_DDL = r"(?is)^\s*(create|alter|drop|rename|truncate)\s+(?:(database|schema)\b|(?:table\s+)?(?:if\s+(?:not\s+)?exists\s+)?(.*))"
+_NAME = r"(?:`[^`]+`|[\w$]+)(?:\.(?:`[^`]+`|[\w$]+))?"
+
+
+def ddl_matters_column(rules: list[Rule], db: Column, sql: Column) -> Column:
+    """`ddl_matters` over rows of (database, statement)."""
+    verb, base, rest = F.lower(F.regexp_extract(sql, _DDL, 1)), F.regexp_extract(sql, _DDL, 2), F.regexp_extract(sql, _DDL, 3)
+    names = F.regexp_extract_all(F.when(verb == "rename", rest).otherwise(F.substring_index(rest, "(", 1)), F.lit(f"({_NAME})"), 1)
+    plain = F.filter(names, lambda n: ~F.lower(n).isin("to", "table"))
+    words = F.transform(plain, lambda n: F.replace(F.element_at(F.split(n, r"\."), -1), F.lit("`"), F.lit("")))
+    wanted = F.when(verb == "rename", words).otherwise(F.slice(words, 1, 1))
+    followed = F.exists(wanted, lambda n: F.coalesce(route_column(rules, db, n), F.lit(-1)) >= 0)
+    return F.when(verb == "", True).when(base != "", False).otherwise((F.size(wanted) == 0) | followed)
+
+
 def is_hosted_system_statement(sql: Column) -> Column:
     """Statements of hosted servers about their own tables; they are skipped."""
     return sql.contains(" mysql.rds_")

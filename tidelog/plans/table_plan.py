@@ -8,6 +8,7 @@ that enters it an INSERT; a change with neither image inside is dropped.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from tidelog.plans.errors import PlanError
 from tidelog.plans.select_text import Comparison, Item, Select, Token, parse
 
 OPS = ("INSERT", "UPDATE", "DELETE")
+#: Digits that any value of an integer type may have.
+_DIGITS = {T.ByteType: 2, T.ShortType: 4, T.IntegerType: 9, T.LongType: 18}
 
 
 def _lookup(schema: T.StructType, column: str) -> T.StructField:
@@ -26,6 +29,26 @@ def _lookup(schema: T.StructType, column: str) -> T.StructField:
     raise PlanError(f"unknown column {column}")
 
 
+def literal_of(literal: object, field: T.StructField) -> Column:
+    """A filter's literal for a column: of the column's type if that holds it exactly, else wide enough
+    to compare by value. Text that is no number is refused beside a numeric column."""
+    kind = field.dataType
+    if not isinstance(kind, T.NumericType) or literal is None:
+        return F.lit(literal).cast(kind)
+    try:
+        number = Decimal(str(literal))
+    except InvalidOperation as e:
+        raise PlanError(f"{field.name} is a number, {literal!r} is not") from e
+    if isinstance(kind, (T.FloatType, T.DoubleType)) or not number.is_finite():
+        return F.lit(float(number)).cast(T.DoubleType())
+    whole, scale = (kind.precision - kind.scale, kind.scale) if isinstance(kind, T.DecimalType) else (_DIGITS[type(kind)], 0)
+    exponent = int(number.normalize().as_tuple().exponent)
+    if -exponent <= scale and number.adjusted() < whole:
+        return F.lit(int(number) if scale == 0 else number).cast(kind)
+    # No value of the column equals it; comparing by value still orders right.
+    return F.lit(number) if number.adjusted() < 30 and -exponent <= 7 else F.lit(float(number))
+
+
 def condition(where: tuple[Comparison, ...], schema: T.StructType, image: str | None = None) -> Column:
     """The conjunction, literals cast to the columns' types here and not for each row.
 
@@ -34,15 +57,7 @@ def condition(where: tuple[Comparison, ...], schema: T.StructType, image: str |
     out = F.lit(True)
     for c in where:
         field = _lookup(schema, c.column)
-        numeric = isinstance(field.dataType, T.NumericType)
-        if numeric and isinstance(c.literal, str):
-            try:
-                literal: object = int(c.literal)
-            except ValueError as e:
-                raise PlanError(f"{c.column} is a number, {c.literal!r} is not") from e
-        else:
-            literal = c.literal
-        value = F.lit(literal).cast(field.dataType) if not (numeric and isinstance(literal, float)) else F.lit(literal)
+        value = literal_of(c.literal, field)
         col = F.col(f"`{image}`.`{field.name}`" if image else f"`{field.name}`")
         one = {
             "=": lambda a, b: a == b, "<=>": lambda a, b: a.eqNullSafe(b), "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
@@ -57,9 +72,13 @@ class TablePlan:
     select: Select
     schema: T.StructType
     key: tuple[str, ...]
+    #: The database whose table is meant; None for whichever the log tells of.
+    db: str | None = None
+    #: Whether the table has a key of its own, whose columns are never null.
+    declared: bool = True
 
     @staticmethod
-    def of(text: str, schema: T.StructType, key: list[str] | tuple[str, ...] = (), extended: bool = False) -> TablePlan:
+    def of(text: str, schema: T.StructType, key: list[str] | tuple[str, ...] = (), extended: bool = False, db: str | None = None) -> TablePlan:
         """A checked plan. Without a key, all columns together are the key."""
         select = parse(text, extended)
         if select.star:
@@ -77,7 +96,7 @@ class TablePlan:
                 raise PlanError(f"primary key column {k} not found in select list")
             if names[k.lower()].kind in ("count", "sum"):
                 raise PlanError(f"primary key column {k} is not allowed to reference an aggregate expression")
-        return TablePlan(select, schema, keys)
+        return TablePlan(select, schema, keys, db, bool(key))
 
     @property
     def mode(self) -> str:
@@ -119,8 +138,19 @@ class TablePlan:
         """The table's rows that the filter keeps, projected; the filter reaches the scan."""
         return rows.filter(condition(self.select.where, self.schema)).select(*self._projected())
 
+    def mine(self, log: DataFrame) -> DataFrame:
+        """The row events of this plan's table, as far as the log tells kinds, tables and databases."""
+        wanted = {"kind": "row", "tbl": self.select.table, "db": self.db}
+        for column, value in wanted.items():
+            if value is not None and column in log.columns:
+                log = log.filter(F.col(column) == value)
+        return log
+
     def changes(self, log: DataFrame) -> DataFrame:
-        """Row changes of the table with `before` and `after` filtered, projected, and `op` derived."""
+        """Row changes of the table with `before` and `after` filtered, projected, and `op` derived.
+
+        A log may hold other tables' events: they are left out."""
+        log = self.mine(log)
         inside = {i: F.col(i).isNotNull() & condition(self.select.where, self.schema, i) for i in ("before", "after")}
         images = {i: F.when(inside[i], F.struct(*self._projected(i))) for i in ("before", "after")}
         kept = log.withColumns(images).filter(F.col("before").isNotNull() | F.col("after").isNotNull())

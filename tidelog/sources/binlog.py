@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
@@ -237,17 +238,30 @@ def _default(v):
     return str(v) if isinstance(v, Decimal) else v.isoformat() if hasattr(v, "isoformat") else str(v)
 
 
-def _shape(checksum: bool):
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for f, p, e in zip(pdf["file"], pdf["pos"], pdf["event"], strict=True):
-                kind, body = e[4], bytes(e[_HEADER : len(e) - 4 if checksum else len(e)])
-                has_table = kind == TABLE_MAP or kind in ROWS
-                rows.append((f, p, kind, int.from_bytes(body[:6], "little") if has_table else -1, body, int.from_bytes(e[:4], "little")))
-            yield pd.DataFrame(rows, columns=["file", "pos", "kind", "table_id", "body", "at"])
+def _shape(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        rows = []
+        for f, p, e, checksum in zip(pdf["file"], pdf["pos"], pdf["event"], pdf["checksum"], strict=True):
+            kind, body = e[4], bytes(e[_HEADER : len(e) - 4 if checksum else len(e)])
+            has_table = kind == TABLE_MAP or kind in ROWS
+            rows.append((f, p, kind, int.from_bytes(body[:6], "little") if has_table else -1, body, int.from_bytes(e[:4], "little")))
+        yield pd.DataFrame(rows, columns=["file", "pos", "kind", "table_id", "body", "at"])
+
+
+def _checked(events: DataFrame, checksum: bool | None) -> DataFrame:
+    """`events` with whether a checksum ends each; if it isn't given, each file's FORMAT event tells.
+
+    That event ends with the number of the checksum's kind (0 for none) and four bytes of its own."""
+    if checksum is not None:
+        return events.withColumn("checksum", F.lit(checksum))
+    last = F.hex(F.expr("substring(event, length(event) - 4, 1)"))
+    formats = events.filter(F.hex(F.expr("substring(event, 5, 1)")) == f"{FORMAT:02X}").groupBy("file").agg(F.max(last == "01").alias("checksum"))
+    return events.join(formats, "file", "left").withColumn("checksum", F.coalesce("checksum", F.lit(False)))
 
-    return of
+
+def gtid_of(body: bytes) -> tuple[str, int]:
+    """(server id, number) of a GTID event."""
+    return str(uuid.UUID(bytes=bytes(body[1:17]))), int.from_bytes(body[17:25], "little")
 
 
 def _decoded(names: dict[tuple[str, str], list[str]], unsigned: dict[tuple[str, str], frozenset[int]], binary: dict[tuple[str, str], frozenset[int]]):
@@ -261,6 +275,9 @@ def _decoded(names: dict[tuple[str, str], list[str]], unsigned: dict[tuple[str,
                     out.append((*head, 0, r.at, db, "", "ddl", None, None, sql))
                 elif r.kind == XID:
                     out.append((*head, 0, r.at, "", "", "commit", None, None, ""))
+                elif r.kind == GTID:
+                    sid, number = gtid_of(r.body)
+                    out.append((*head, 0, r.at, "", "", "gtid", None, None, f"{sid}:{number}"))
                 elif r.kind in ROWS:
                     if r.map is None:
                         raise ValueError(f"no table map before the rows event at {r.file}:{r.pos}")
@@ -276,14 +293,14 @@ def _decoded(names: dict[tuple[str, str], list[str]], unsigned: dict[tuple[str,
     return of
 
 
-def decode(events: DataFrame, names: dict[tuple[str, str], list[str]] | None = None, unsigned: dict | None = None, binary: dict | None = None, checksum: bool = False) -> DataFrame:
+def decode(events: DataFrame, names: dict[tuple[str, str], list[str]] | None = None, unsigned: dict | None = None, binary: dict | None = None, checksum: bool | None = None) -> DataFrame:
     """(file, pos, row, at, db, tbl, kind, before, after, sql) of raw events (file, pos, event).
 
     `names` has tables' column names, `unsigned` and `binary` the numbers of such columns: the log
-    tells neither. Columns without a name are @1, @2, ...
+    tells neither. Columns without a name are @1, @2, ... A GTID event's text is in `sql`.
     """
-    shaped = events.mapInPandas(_shape(checksum), "file string, pos long, kind int, table_id long, body binary, at long")
-    needed = shaped.filter(F.col("kind").isin(QUERY, XID, TABLE_MAP, *ROWS))
+    shaped = _checked(events, checksum).mapInPandas(_shape, "file string, pos long, kind int, table_id long, body binary, at long")
+    needed = shaped.filter(F.col("kind").isin(QUERY, XID, GTID, TABLE_MAP, *ROWS))
     last = Window.partitionBy("file", "table_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     # Events without a table need none; they are not dealt by table id.
     with_table = needed.filter("table_id >= 0").withColumn("map", F.last(F.when(F.col("kind") == TABLE_MAP, F.col("body")), ignorenulls=True).over(last))
@@ -293,6 +310,28 @@ def decode(events: DataFrame, names: dict[tuple[str, str], list[str]] | None = N
     return rows.mapInPandas(_decoded(names or {}, unsigned or {}, binary or {}), schema)
 
 
+def changelog(decoded: DataFrame) -> DataFrame:
+    """The canonical changelog (see `changelog.py`) of decoded events; images stay JSON texts.
+
+    `seq` is the file's number and the place in it; each row of an event has a place of its own, for no
+    row takes less than a byte. An event belongs to the GTID event before it in its file, and `commit`
+    marks the last event before the transaction's end. Both are looked up within a file, whose size the
+    server bounds; nothing runs over the whole log. A statement that commits by itself ends its transaction.
+    """
+    number = F.coalesce(F.regexp_extract("file", r"(\d+)$", 1).try_cast("long"), F.lit(0))
+    along = Window.partitionBy("file").orderBy("seq")
+    placed = decoded.withColumn("seq", number * (1 << 40) + F.col("pos") + F.col("row"))
+    gtid = F.last(F.when(F.col("kind") == "gtid", F.struct(F.col("sql").alias("text"), F.col("seq").alias("began"))), ignorenulls=True).over(along)
+    ends = F.lead("kind").over(along)
+    told = placed.withColumns({"_g": gtid, "commit": F.coalesce(ends.isin("commit", "gtid"), F.lit(True))})
+    events = told.filter(F.col("kind").isin("row", "ddl"))
+    text = F.col("_g.text")
+    return events.select(
+        "seq", F.col("_g.began").alias("txn_id"), F.substring_index(text, ":", 1).alias("gtid_sid"), F.substring_index(text, ":", -1).cast("long").alias("gtid_seq"),
+        "db", "tbl", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "commit", "kind", "before", "after", "sql",
+    )
+
+
 def typed(decoded: DataFrame, db: str, tbl: str, schema: T.StructType) -> DataFrame:
     """One table's changes with typed images."""
     mine = decoded.filter((F.col("kind") == "row") & (F.col("db") == db) & (F.col("tbl") == tbl))

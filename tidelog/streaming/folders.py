@@ -19,8 +19,10 @@ class Folder:
 
     @staticmethod
     def fresh(spark: SparkSession, stem: str) -> Folder:
-        """A new folder below spark.checkpoint.dir; a local one only where none is named, as in tests."""
+        """A new folder below spark.checkpoint.dir; a temporary one only where the master is local."""
         shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not shared and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder, and executors share no temporary one")
         return Folder(spark, f"{shared}/{stem}-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix=stem)}")
 
     def at(self, name: str) -> str:

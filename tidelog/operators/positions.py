@@ -65,10 +65,16 @@ def equal(left: DataFrame, right: DataFrame) -> DataFrame:
     return contains(left, right).crossJoin(contains(right, left).withColumnRenamed("contains", "other")).select((F.col("contains") & F.col("other")).alias("equal"))
 
 
-def executed(log: DataFrame) -> DataFrame:
-    """The set that a changelog's transactions add up to: (sid, start, end)."""
-    points = log.filter("commit").select(F.lit("log").alias("set_id"), F.col("gtid_sid").alias("sid"), F.col("gtid_seq").alias("start"), F.col("gtid_seq").alias("end")).distinct()
-    return coalesced(points)
+def executed(log: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """The set that a changelog's transactions add up to: (sid, start, end).
+
+    A source's transactions become intervals within ranges of their numbers first; only those, one or
+    a few a range, meet in one window."""
+    points = log.filter("commit").select(F.col("gtid_sid").alias("sid"), F.col("gtid_seq").alias("n")).distinct()
+    along = Window.partitionBy("sid", F.floor(F.col("n") / width)).orderBy("n")
+    islands = points.withColumn("_island", F.col("n") - F.row_number().over(along)).groupBy("sid", F.floor(F.col("n") / width), "_island")
+    parts = islands.agg(F.min("n").alias("start"), F.max("n").alias("end")).select(F.lit("log").alias("set_id"), "sid", "start", "end")
+    return coalesced(parts)
 
 
 def parse(spark: SparkSession, set_id: str, text: str) -> DataFrame:

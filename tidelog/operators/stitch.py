@@ -33,7 +33,7 @@ def copied_by_table(log: DataFrame, copy_state: DataFrame, key: str) -> DataFram
 
     A table whose lastpk is null has not begun, and nothing of it applies.
     """
-    state = F.broadcast(copy_state.select("tbl", "lastpk", F.lit(True).alias("copying")))
+    state = copy_state.select("tbl", "lastpk", F.lit(True).alias("copying"))
     joined = log.join(state, "tbl", "left")
     inside = lambda i: F.col("copying").isNull() | (F.col(f"{i}.{key}") <= F.col("lastpk"))
     cut = {i: F.when(F.col(i).isNotNull() & inside(i), F.col(i)) for i in ("before", "after")}

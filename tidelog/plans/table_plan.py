@@ -29,24 +29,24 @@ def _lookup(schema: T.StructType, column: str) -> T.StructField:
     raise PlanError(f"unknown column {column}")
 
 
-def literal_of(literal: object, field: T.StructField) -> Column:
-    """A filter's literal for a column: of the column's type if that holds it exactly, else wide enough
-    to compare by value. Text that is no number is refused beside a numeric column."""
+def literal_of(literal: object, field: T.StructField) -> tuple[Column, bool]:
+    """A filter's literal for a column, and whether it is of the column's type: if that holds it exactly,
+    else wide enough to compare by value. Text that is no number is refused beside a numeric column."""
     kind = field.dataType
     if not isinstance(kind, T.NumericType) or literal is None:
-        return F.lit(literal).cast(kind)
+        return F.lit(literal).cast(kind), True
     try:
         number = Decimal(str(literal))
     except InvalidOperation as e:
         raise PlanError(f"{field.name} is a number, {literal!r} is not") from e
     if isinstance(kind, (T.FloatType, T.DoubleType)) or not number.is_finite():
-        return F.lit(float(number)).cast(T.DoubleType())
+        return F.lit(float(number)).cast(T.DoubleType()), True
     whole, scale = (kind.precision - kind.scale, kind.scale) if isinstance(kind, T.DecimalType) else (_DIGITS[type(kind)], 0)
     exponent = int(number.normalize().as_tuple().exponent)
     if -exponent <= scale and number.adjusted() < whole:
-        return F.lit(int(number) if scale == 0 else number).cast(kind)
+        return F.lit(int(number) if scale == 0 else number).cast(kind), True
     # No value of the column equals it; comparing by value still orders right.
-    return F.lit(number) if number.adjusted() < 30 and -exponent <= 7 else F.lit(float(number))
+    return F.lit(number) if number.adjusted() < 30 and -exponent <= 7 else F.lit(float(number)), False
 
 
 def condition(where: tuple[Comparison, ...], schema: T.StructType, image: str | None = None) -> Column:
@@ -57,13 +57,14 @@ def condition(where: tuple[Comparison, ...], schema: T.StructType, image: str |
     out = F.lit(True)
     for c in where:
         field = _lookup(schema, c.column)
-        value = literal_of(c.literal, field)
+        value, exact = literal_of(c.literal, field)
         col = F.col(f"`{image}`.`{field.name}`" if image else f"`{field.name}`")
         one = {
             "=": lambda a, b: a == b, "<=>": lambda a, b: a.eqNullSafe(b), "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
             "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
         }[c.op](col, value)
-        out = out & one
+        # Beside a literal out of the column's range Spark 4.1 takes a null for a match; it is none.
+        out = out & (one if exact else col.isNotNull() & one)
     return out
 
 

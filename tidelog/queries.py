@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions import mysql_values as mv
 from tidelog.functions import statements as st
-from tidelog.functions.binding import exploded
+from tidelog.functions import sql_text
+from tidelog.functions.binding import bound, exploded
 from tidelog.operators import envelope, metrics, positions, results, stitch, tasks, timeline
+from tidelog.operators.following import Following
 from tidelog.operators.incremental import aggregate, merged, partial, shown
 from tidelog.operators.state import applied, key_moved, state
-from tidelog.plans.rules import Rule, ddl_matters, route_column
+from tidelog.plans.errors import PlanError
+from tidelog.plans.rules import Rule, ddl_matters_column, is_hosted_system_statement, route_column
 from tidelog.plans.table_plan import TablePlan
 from tidelog.sources import binlog, snapshot
-from tidelog.sources.changelog import MOVED, ORDER_ROW, SIDS, order_changes, order_rows
+from tidelog.sources.catalog import TableSpec, included
+from tidelog.sources.changelog import MOVED, ORDER_ROW, SIDS, full_images, order_changes, order_rows
 from tidelog.streaming.runner import run_to_state, run_windows
 from tidelog.streaming.stateful import run_counts
 
@@ -133,6 +140,45 @@ def binlog_decode_rows(spark, sf_dir):
     return out.select("pos", "db", "tbl", "after.id", "after.customer", "after.status", "after.doc.k")
 
 
+def _event(kind: int, body: bytes) -> bytes:
+    """An event with its header and a checksum."""
+    return struct.pack("<IBIIIH", 1_600_000_000, kind, 1, 23 + len(body), 0, 0) + body + b"\0\0\0\0"
+
+
+def _image(row) -> bytes:
+    return b"\0" + struct.pack("<qq", row["o_orderkey"], row["o_custkey"]) + bytes([len(row["o_orderstatus"])]) + row["o_orderstatus"].encode() + struct.pack("<q", row["cents"])
+
+
+def _transactions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each order's changes as a transaction of raw events: GTID, rows events, XID."""
+    head = (7).to_bytes(6, "little") + b"\0\0" + struct.pack("<H", 2) + b"\x04\x0f"
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            k = r["txn_id"]
+            file, at = f"log.{k % 4:06d}", 1000 * k
+            gtid = b"\0" + uuid.UUID(SIDS[k % 2]).bytes + struct.pack("<q", k // 2 + 1)
+            rows.append((file, at, _event(binlog.GTID, gtid)))
+            for n, c in enumerate(r["changes"]):
+                kind = 30 if c["before"] is None else 32 if c["after"] is None else 31
+                images = b"".join(_image(i) for i in (c["before"], c["after"]) if i is not None)
+                rows.append((file, at + 100 * (n + 1), _event(kind, head + (b"\x0f" if kind == 31 else b"") + images)))
+            rows.append((file, at + 900, _event(binlog.XID, struct.pack("<q", k))))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["file", "pos", "event"])
+
+
+def _raw_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' changelog written as raw events of four files, and read back from them."""
+    shape = "file string, pos long, event binary"
+    kinds = bytes([binlog.LONGLONG, binlog.LONGLONG, binlog.VARCHAR, binlog.LONGLONG])
+    announced = (7).to_bytes(6, "little") + b"\0\0\x04shop\0\x06orders\0\x04" + kinds + b"\x02" + struct.pack("<H", 40) + b"\x0f"
+    # A FORMAT event ends with the kind of checksum, 1, and its own.
+    begin = [(f"log.{f:06d}", p, bytearray(e)) for f in range(4) for p, e in ((0, _event(binlog.FORMAT, b"\x04\0" + b"8.0".ljust(50, b"\0") + b"\0" * 5 + b"\x01")), (1, _event(binlog.TABLE_MAP, announced)))]
+    grouped = log(spark, sf_dir).groupBy("txn_id").agg(F.array_sort(F.collect_list(F.struct("seq", "before", "after"))).alias("changes"))
+    raw = grouped.mapInArrow(_transactions, shape).unionByName(spark.createDataFrame(begin, shape))
+    return binlog.changelog(binlog.decode(raw, {("shop", "orders"): ORDER_ROW.names}))
+
+
 # Routing.
 
 TABLES = ["orders", "_orders_gho", "_orders_del", "_orders", "lineitem", "order_log", "customer", "users_2020"]
@@ -202,11 +248,52 @@ def image_filter_transitions(spark, sf_dir):
     return planned("select * from orders where o_orderstatus = 'F'").changes(log(spark, sf_dir)).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', {k})" for s, k in [("create database x", "false"), ("alter table orders add c int", "true"), ("drop table lineitem", "false"), ("rename table a to orders", "true"), ("truncate table `shop`.`orders`", "true"), ("something odd", "true")]) + ") v(sql, followed)")
+DDL = ("create database x", "alter table orders add c int", "drop table lineitem", "rename table a to orders", "truncate table `shop`.`orders`", "something odd")
+
+
+@query(f"""SELECT n_nationkey, sql, sql IN ('{DDL[1]}', '{DDL[3]}', '{DDL[4]}', '{DDL[5]}') AS followed
+FROM (SELECT n_nationkey, ([{", ".join(f"'{t}'" for t in DDL)}])[1 + n_nationkey % {len(DDL)}] AS sql FROM nation)""")
 def ddl_relevance(spark, sf_dir):
-    rules = [Rule("shop", "orders")]
-    texts = ["create database x", "alter table orders add c int", "drop table lineitem", "rename table a to orders", "truncate table `shop`.`orders`", "something odd"]
-    return spark.createDataFrame([(t, ddl_matters(rules, "shop", t)) for t in texts], "sql string, followed boolean")
+    text = F.element_at(F.array(*map(F.lit, DDL)), (1 + F.col("n_nationkey") % len(DDL)).cast("int"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", text.alias("sql"))
+    return rows.withColumn("followed", ddl_matters_column([Rule("shop", "orders")], F.lit("shop"), F.col("sql")))
+
+
+@query(f"""WITH {FINAL}, m AS (SELECT o_orderkey AS id, o_orderstatus AS label FROM f WHERE o_orderkey >= {MOVED} OR o_orderkey % 7 <> 0)
+SELECT 'archive' AS db, 'orders' AS tbl, id, label FROM m UNION ALL SELECT 'archive', 'orders', o_orderkey, 'G' FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'shop', 'nation', n_nationkey, n_name FROM nation WHERE n_regionkey = 1""")
+def follow_rules_state(spark, sf_dir):
+    """A log of four tables: one followed under another database's name, with its shadow, one filtered, one excluded, one of a foreign database."""
+    orders = log(spark, sf_dir)
+    shaped = lambda d, db, tbl: d.select("seq", F.lit(db).alias("db"), F.lit(tbl).alias("tbl"), F.lit("row").alias("kind"), *(F.to_json(i).alias(i) if i in d.columns else F.lit(None).cast("string").alias(i) for i in ("before", "after")))
+    k = F.col("o_orderkey")
+    ghosts = order_rows(table(spark, sf_dir, "orders")).filter(k % 7 == 0).select((8 * k + 5).alias("seq"), F.struct(k, "o_custkey", F.lit("G").alias("o_orderstatus"), "cents").alias("after"))
+    customers = table(spark, sf_dir, "customer").select((8 * F.col("c_custkey") + 6).alias("seq"), F.struct(F.col("c_custkey").alias("o_orderkey"), F.lit("X").alias("o_orderstatus")).alias("after"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seq"), F.struct("n_nationkey", "n_name", "n_regionkey").alias("after"))
+    every = [shaped(orders, "shop", "orders"), shaped(ghosts, "shop", "_orders_gho"), shaped(customers, "shop", "customer"), shaped(nations, "shop", "nation"), shaped(orders.withColumn("seq", F.col("seq") + 7), "other", "orders")]
+    merged_log = reduce(DataFrame.unionByName, every)
+    nation = T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.LongType())])
+    rules = [
+        Rule("shop", "customer", "exclude"), Rule("shop", "orders", "select o_orderkey as id, o_orderstatus as label from orders", target_dbname="archive"),
+        Rule("shop", "/^nat/", "select n_nationkey as id, n_name as label from nation where n_regionkey = 1"),
+    ]
+    tables = [TableSpec("shop", "orders", ORDER_ROW, ("id",)), TableSpec("shop", "nation", nation, ("id",)), TableSpec("shop", "customer", ORDER_ROW, ("o_orderkey",))]
+    states = Following(rules, tables, shadows=True).states(merged_log)
+    return reduce(DataFrame.unionByName, (d.select(F.lit(db).alias("db"), F.lit(tbl).alias("tbl"), "id", "label") for (db, tbl), d in states.items()))
+
+
+@query(f"WITH {FINAL} SELECT * FROM f WHERE o_orderstatus = 'F'")
+def binlog_to_state(spark, sf_dir):
+    """Raw events with checksums to the filtered state: decoded, put in transactions, applied."""
+    plan = planned("select * from orders where o_orderstatus = 'F'")
+    out = _raw_changelog(spark, sf_dir)
+    return applied(plan, out.withColumns({i: F.from_json(i, ORDER_ROW) for i in ("before", "after")}))
+
+
+@query(f"""WITH {LOG} SELECT CASE WHEN k % 2 = 0 THEN '{SIDS[0]}' ELSE '{SIDS[1]}' END AS gtid_sid, (k // 2 + 1)::BIGINT AS gtid_seq, count(*) AS events, 1::BIGINT AS commits FROM l GROUP BY k""")
+def binlog_transactions(spark, sf_dir):
+    """What each transaction of the raw log holds: events, and one of them that ends it."""
+    return _raw_changelog(spark, sf_dir).groupBy("gtid_sid", "gtid_seq").agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("commit").cast("long")).alias("commits"))
 
 
 # Keyed state.
@@ -230,7 +317,10 @@ def cdc_pk_moves(spark, sf_dir):
 @query(f"WITH {FINAL} SELECT o_orderkey, 'archive' AS db FROM f WHERE o_orderstatus = 'O'")
 def db_rename(spark, sf_dir):
     rule = Rule("shop", "orders", "select o_orderkey from orders where o_orderstatus = 'O'", target_dbname="archive")
-    return applied(planned(rule.select_text("orders")), log(spark, sf_dir)).withColumn("db", F.lit(rule.target_dbname))
+    spec = TableSpec("shop", "orders", ORDER_ROW, KEY)
+    texts = log(spark, sf_dir).withColumns({i: F.to_json(i) for i in ("before", "after")})
+    changes = Following([rule], [spec]).changes(texts, spec)
+    return state(changes.withColumns({i: F.when(F.col(i).isNotNull(), F.col(i).withField("db", F.col("db"))) for i in ("before", "after")}), KEY)
 
 
 # Incremental aggregation.
@@ -462,10 +552,19 @@ def rate_limit_admission(spark, sf_dir):
     return timeline.admitted(_event_log(spark, sf_dir), ["event_type"], "seq", 30, 60).select("seq", "admit_second")
 
 
+@query(f"""WITH {EVENT_LOG}, n AS (SELECT event_type, seq, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS n FROM e),
+o AS (SELECT *, max(t * 3 - n * 1000000) OVER (PARTITION BY event_type ORDER BY seq) AS over FROM n)
+SELECT seq, greatest(t, (over + (n + 1 - 5) * 1000000 + 2) // 3)::BIGINT AS admit_us FROM o""")
+def rate_limit_arrivals(spark, sf_dir):
+    """A token bucket of 5, refilled 3 a second, by when events arrive."""
+    rows = _event_log(spark, sf_dir).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return timeline.admitted(rows, ["event_type"], "seq", 3, 5, "t", 1000).select("seq", "admit_us")
+
+
 @query(f"""WITH {EVENT_LOG}, h AS (SELECT event_type, seq, row_number() OVER w AS n, first_value(seq) OVER (PARTITION BY event_type ORDER BY seq ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS old FROM e WINDOW w AS (PARTITION BY event_type ORDER BY seq))
 SELECT event_type, seq, CASE WHEN n > 1 THEN (seq - old)::DOUBLE / least(n - 1, 5) END AS rate FROM h""")
 def rate_ring(spark, sf_dir):
-    return timeline.rates(_event_log(spark, sf_dir), ["event_type"], "seq", "seq", 5).select("event_type", "seq", "rate")
+    return timeline.rates(_event_log(spark, sf_dir), ["event_type"], "seq", "seq", 5, 1000).select("event_type", "seq", "rate")
 
 
 @query(f"""WITH {EVENT_LOG}, c AS (SELECT user_id, seq, event_type, row_number() OVER w AS r, event_type IS NOT DISTINCT FROM lag(event_type) OVER w AS same FROM e WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
@@ -812,6 +911,12 @@ def state_join_dimensions(spark, sf_dir):
 
 
 JOIN_SQL = {
+    "anti_not_in": ("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)", None),
+    "is_true_false": ("SELECT o_orderkey, (o_orderstatus = 'F') IS TRUE AS f, (o_orderkey % 2 = 0) IS NOT FALSE AS e FROM orders", None),
+    "regexp_match": ("SELECT c_custkey FROM customer WHERE regexp_like(c_name, '[02468]$')", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '[02468]$')"),
+    "null_safe_equal": ("SELECT o_orderkey, nullif(o_orderstatus, 'P') <=> nullif('P', 'P') AS missing FROM orders", "SELECT o_orderkey, nullif(o_orderstatus, 'P') IS NOT DISTINCT FROM NULL AS missing FROM orders"),
+    "like_escape": ("SELECT n_nationkey FROM nation WHERE concat(n_name, '_x') LIKE '%!_x' ESCAPE '!'", None),
+    "population_deviation": ("SELECT l_returnflag, round(stddev_pop(l_linenumber), 6) AS std FROM lineitem GROUP BY l_returnflag", None),
     "join_left": ("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", None),
     "join_right": ("SELECT n_nationkey, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey", None),
     "join_using": ("SELECT count(*) AS n, sum(a.c_custkey) AS s FROM customer a JOIN customer b USING (c_custkey)", "SELECT count(*) AS n, sum(a.c_custkey)::BIGINT AS s FROM customer a JOIN customer b USING (c_custkey)"),
@@ -869,6 +974,136 @@ for _name, (_text, _oracle) in JOIN_SQL.items():
     ORACLES[_name] = _oracle or _text
 
 
+# Texts, checks and plans: what the driver's functions give for the rows of a table.
+
+
+def _mapped(rows: DataFrame, column: str, name: str, of: Callable[[str], str | None]) -> DataFrame:
+    one = F.pandas_udf(lambda texts: texts.map(of), "string")
+    return rows.withColumn(name, one(column))
+
+
+def _statement(rows: DataFrame, *parts) -> DataFrame:
+    return rows.select("o_orderkey", F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)).alias("sql"))
+
+
+@query("SELECT o_orderkey, 'select * from t where a = :v2 and b = :v3 and c = :v2 and d in ::v1' AS template, o_orderkey || ' ' || o_orderstatus || ' [7, 8]' AS vars FROM orders")
+def literal_normalization(spark, sf_dir):
+    rows = _statement(table(spark, sf_dir, "orders"), "select * from t where a = ", F.col("o_orderkey"), " and b = '", F.col("o_orderstatus"), "' and c = ", F.col("o_orderkey"), " and d in (7, 8)")
+    out = _mapped(rows, "sql", "template", lambda t: sql_text.normalized(t)[0])
+    shown = lambda v: f"{v['v2']} {v['v3']} {v['v1']}"
+    return _mapped(out, "sql", "vars", lambda t: shown(sql_text.normalized(t)[1])).drop("sql")
+
+
+@query("SELECT o_orderkey, 'update t set a = '';'' where k = ' || o_orderkey AS first, 2 AS statements FROM orders")
+def statement_splitting(spark, sf_dir):
+    rows = _statement(table(spark, sf_dir, "orders"), "update t set a = ';' where k = ", F.col("o_orderkey"), " ; /* ; */ ; delete from t;")
+    out = _mapped(rows, "sql", "first", lambda t: sql_text.statements(t)[0])
+    return _mapped(out, "sql", "n", lambda t: str(len(sql_text.statements(t)))).select("o_orderkey", "first", F.col("n").cast("int").alias("statements"))
+
+
+@query("SELECT o_orderkey, o_orderkey || ' True False' AS directives FROM orders")
+def comment_directives(spark, sf_dir):
+    rows = _statement(table(spark, sf_dir, "orders"), "select /*x+ SIZE=", F.col("o_orderkey"), " FAST DEEP=false */ 1")
+    return _mapped(rows, "sql", "directives", lambda t: "{SIZE} {FAST} {DEEP}".format(**sql_text.directives(t))).drop("sql")
+
+
+@query("SELECT o_orderkey, 'select * from (select ' || o_orderkey || ' as k) t where 1 != 1' AS probe FROM orders")
+def impossible_query(spark, sf_dir):
+    return _mapped(_statement(table(spark, sf_dir, "orders"), "select ", F.col("o_orderkey"), " as k"), "sql", "probe", sql_text.probe).drop("sql")
+
+
+@query("SELECT o_orderkey, 'insert into t values (:v, :v)' AS shown FROM orders")
+def redacted_statement(spark, sf_dir):
+    rows = _statement(table(spark, sf_dir, "orders"), "insert into t values (", F.col("o_orderkey"), ", '", F.col("o_orderstatus"), "')")
+    return rows.select("o_orderkey", st.redacted(F.col("sql")).alias("shown"))
+
+
+@query("SELECT o_orderkey, 'select a from t where k = ' || o_orderkey || ' and s in (''x'', null)' AS bound FROM orders")
+def bind_substitution(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("k"))
+    return _mapped(rows, "k", "bound", lambda k: bound("select a from t where k = :k and s in ::l", {"k": int(k), "l": ["x", None]})).drop("k")
+
+
+@query("SELECT n_nationkey, hex(encode(n_name)) || repeat('00', 30 - length(n_name)) AS padded FROM nation")
+def padded_binary(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.hex(mv.padded_binary(F.col("n_name"), 30)).alias("padded"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey < 2 THEN n_regionkey = 1 END AS flag FROM nation")
+def to_bool(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", mv.to_bool(F.col("n_regionkey"), tolerant=True).alias("flag"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS hosted FROM events")
+def hosted_system_statements(spark, sf_dir):
+    sql = F.when(F.col("event_id") % 3 == 0, "insert into mysql.rds_heartbeat2 values (1)").otherwise("insert into t values (1)")
+    return table(spark, sf_dir, "events").select("event_id", is_hosted_system_statement(sql).alias("hosted"))
+
+
+@query(f"WITH {LOG} SELECT kind, count(*) AS n FROM (SELECT 'row' AS kind FROM l) GROUP BY kind")
+def full_row_images(spark, sf_dir):
+    return full_images(log(spark, sf_dir), list(ORDER_ROW.names)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey AS pos, 'shop' AS db, 'alter table t add c' || o_orderkey || ' int' AS sql, 'ddl' AS kind FROM orders")
+def binlog_query_events(spark, sf_dir):
+    def events(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            body = lambda k: struct.pack("<IIBHH", 1, 0, 4, 0, 0) + b"shop\0" + f"alter table t add c{k} int".encode()
+            yield pd.DataFrame({"file": "log.1", "pos": pdf["o_orderkey"], "event": [_event(binlog.QUERY, body(k)) for k in pdf["o_orderkey"].tolist()]})
+
+    raw = table(spark, sf_dir, "orders").select("o_orderkey").mapInPandas(events, "file string, pos long, event binary")
+    return binlog.decode(raw, checksum=True).select("pos", "db", "sql", "kind")
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey")
+def default_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return TablePlan.of(Rule("shop", "nation").select_text("nation"), rows.schema, ("n_nationkey",)).snapshot(rows)
+
+
+@query("SELECT * FROM (VALUES ('cents', 0), ('o_custkey', 1), ('o_orderstatus', 2)) v(name, place)")
+def column_pruning(spark, sf_dir):
+    plan = planned("select cents + o_custkey as total from orders where o_orderstatus = 'F'", ("total",))
+    return spark.createDataFrame(list(zip(plan.referenced, range(9), strict=False)), "name string, place int")
+
+
+@query("SELECT * FROM (VALUES (0, 'Orders'), (1, 'customer'), (2, 'lineitem')) v(place, name)")
+def tables_included_and_sorted(spark, sf_dir):
+    found = included(["lineitem", "part", "Orders", "customer", "customer_old"], ["ORDERS", "/^(cust|line)/"], ["/_old$/"])
+    return spark.createDataFrame(list(enumerate(found)), "place int, name string")
+
+
+@query("SELECT * FROM (VALUES ('select c2 from t', 'primary key column c1 not found in select list'), ('select c2, count(*) as c1 from t group by c2', 'primary key column c1 is not allowed to reference an aggregate expression')) v(text, refused)")
+def key_validation(spark, sf_dir):
+    schema, rows = T.StructType([T.StructField(c, T.LongType()) for c in ("c1", "c2")]), []
+    for text in ("select c2 from t", "select c2, count(*) as c1 from t group by c2"):
+        try:
+            TablePlan.of(text, schema, ("c1",))
+        except PlanError as e:
+            rows.append((text, str(e)))
+    return spark.createDataFrame(rows, "text string, refused string")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'a task needs a source host' WHEN n_nationkey % 3 = 1 THEN 'a task goes to one database or to one message bus' ELSE 'port 3306' END AS checked FROM nation")
+def task_validation(spark, sf_dir):
+    def checked(k: str) -> str:
+        n = int(k) % 3
+        try:
+            return f"port {tasks.TaskSpec({'host': 'h'} if n else {}, [Rule('db', 't')], sink={} if n != 1 else None).checked().source['port']}"
+        except PlanError as e:
+            return str(e)
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("k"))
+    return _mapped(rows, "k", "checked", checked).drop("k")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_acctbal::DECIMAL(12,2) >= 1000.50 AND s_acctbal::DECIMAL(12,2) <> 1234.567")
+def decimal_literals(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").cast("decimal(12,2)").alias("balance"))
+    return TablePlan.of("select s_suppkey from supplier where balance >= '1000.50' and balance != '1234.567'", rows.schema, ("s_suppkey",), extended=True).snapshot(rows)
+
+
 # Streams.
 
 

@@ -34,17 +34,17 @@ def byte_size(rows: DataFrame) -> Column:
     return out
 
 
-def byte_batches(rows: DataFrame, key: list[str], limit: int = 250_000, chunks: int = 64) -> DataFrame:
+def byte_batches(rows: DataFrame, key: list[str], limit: int = 250_000, range_bytes: int = 16 << 20) -> DataFrame:
     """`rows` with `batch`: rows in key order cut whenever `limit` more bytes have passed.
 
-    Rows are dealt into key ranges; ranges' sizes are summed up first, then rows within each range.
+    Rows are dealt into ranges of the key's first column, a long, of about `range_bytes` on average;
+    ranges' sizes are summed up first, then rows within each range, by the whole key.
     """
     from tidelog.operators.timeline import running
 
     sized = rows.withColumn("_size", byte_size(rows).cast("long"))
-    if len(key) != 1:
-        raise ValueError("byte batches need one long key column")
-    span = sized.agg(F.min(key[0]).alias("a"), F.max(key[0]).alias("b")).first()
-    width = max(1, ((span["b"] or 0) - (span["a"] or 0)) // chunks + 1)
-    before = running(sized, F.col("_size"), key[0], "_before", width, inclusive=False)
+    span = sized.agg(F.min(key[0]).alias("a"), F.max(key[0]).alias("b"), F.sum("_size").alias("bytes")).first()
+    ranges = max(64, (span["bytes"] or 0) // range_bytes)
+    width = max(1, ((span["b"] or 0) - (span["a"] or 0)) // ranges + 1)
+    before = running(sized, F.col("_size"), key, "_before", width, inclusive=False)
     return before.withColumn("batch", F.floor(F.col("_before") / limit)).drop("_size", "_before")

@@ -121,8 +121,11 @@ class Runner:
 
 
 def in_files(rows: DataFrame, path: str, files: int, order: str = "seq") -> None:
-    """`rows` as `files` Parquet files, by ranges of the order: a source to stream from."""
+    """`rows` as `files` Parquet files, by ranges of the order: a source to stream from.
+
+    Streams take files by age, so the files get ages in the order's order, whichever was written first."""
     rows.repartitionByRange(files, order).write.mode("append").parquet(path)
+    Folder(rows.sparkSession, path).aged()
 
 
 def run_to_state(spark: SparkSession, log: DataFrame, plan: TablePlan, files: int) -> DataFrame:

@@ -88,12 +88,37 @@ def test_quality(docs, labels):
     assert share_right(out, labels, "quality") > 0.92
 
 
-def test_words_of_one_row_have_their_own_index_vectors():
+def test_quality_comes_from_the_vectors(docs, labels):
+    """With the word vectors of no word the length is left, and says next to nothing."""
+    known = labels.select("doc_id", F.col("quality").alias("label")).filter("label is not null")
+    model = quality.fit(docs, known.filter(F.pmod("doc_id", F.lit(3)) != 0))
+    rows = docs.join(known.filter(F.pmod("doc_id", F.lit(3)) == 0), "doc_id").select("text", "label").collect()
+    truth = np.array([r.label for r in rows])
+
+    def above(scores):
+        good, bad = scores[truth == 1], scores[truth == 0]
+        return (good[:, None] > bad[None, :]).mean() + (good[:, None] == bad[None, :]).mean() / 2
+
+    assert above(model.scores([r.text for r in rows])) > 0.85
+    model.table = np.zeros_like(model.table)
+    assert above(model.scores([r.text for r in rows])) < 0.75
+
+
+def test_words_that_share_a_row_read_another():
     words = [f"w{k}" for k in range(40_000)]
-    row = quality._row(quality._hashed([" ".join(words).encode()], [0])[1])
-    same = [w for w, r in zip(words, row.tolist(), strict=True) if r == np.bincount(row).argmax()]
-    sums = [quality.contexts([f"{w} middle".encode()])[0] for w in same]
-    assert len(same) > 3 and len({s.tobytes() for s in sums}) > 1
+    values = quality._hashed([" ".join(words).encode()], [0])[0]
+    one, two = quality._rows(values)
+    often = np.bincount(one, minlength=quality.WORDS) + np.bincount(two, minlength=quality.WORDS)
+    assert len(values) == 40_000 and (np.minimum(often[one], often[two]) < often[one]).mean() > 0.3
+    assert quality._hashed([b"of%%% the!! end", b"", b"a"], [0, 1, 2])[1].tolist() == [0, 0, 0, 0, 0, 2]
+
+
+def test_sums_meet_in_levels(spark, docs, labels):
+    known = labels.select("doc_id", F.col("quality").alias("label")).limit(0)
+    texts = [(r.text or "").encode() for r in docs.select("text").collect()]
+    sums, often = quality.contexts(texts)
+    assert (quality.fit(docs.repartition(9), known).often == often).all()
+    assert np.allclose(quality.fit(docs.repartition(9), known).table, quality.Model(sums, often).table)
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])

@@ -1,16 +1,19 @@
 """Quality classifier: random-indexing word vectors, a two-layer network, calibrated probabilities.
 
-A word's index vector has one +1 and one -1 among `WIDTH` places, from its own hash. Word vectors are
-folded: every word is hashed into one of `WORDS` rows, and the words of a row share its vector and
-rarity. A row's vector is the sum of the index vectors of the words at most two places away, over all
-occurrences in all documents; it is centred and normalised. A document
-is the mean of its words' vectors, weighted by how rare the word's row is, next to `SHAPE` figures of
-its text. A network of one hidden layer, trained on a bounded sample of labelled rows, gives a logit;
-a temperature, fitted on a part of the sample that the network has not seen, makes it a probability.
+Words are runs of letters and digits, and runs of marks, as they stand: capitals and marks tell. A
+word's index vector has one +1 and one -1 among `WIDTH` places, from its own hash. Its context vector
+is the sum of the index vectors of the words at most two places away, over all occurrences in all
+documents. Sums are kept in `WORDS` rows, and every word adds to two of them; a word reads the one of
+its two rows that fewer occurrences share, as a count-min sketch does, which also tells how rare it is.
+Rows are centred and normalised. A document is the mean of its words' vectors weighted by rarity, the
+plain mean, and the log of its length; nothing else of the text is looked at. A network of one
+hidden layer, trained on a bounded sample of labelled rows, gives a logit; a temperature, fitted on a
+part of the sample that the network has not seen, makes it a probability.
 
 Defined results: a null or empty text is scored as a text without words; with no labelled rows every
 score is 0.5, and with labels of one kind the share of label 1, smoothed. Null labels are not learned
-from. Repeated ids in the labels count as often as they stand there.
+from. Repeated ids in the labels count as often as they stand there. Equal texts have equal scores;
+texts of any length are read whole, in groups of bounded size; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,102 +22,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import hashing
-from tidelog.llm.common import column, held_out
+from tidelog.llm.common import column, held_out, sliced
 from tidelog.llm.labelled import sample_of
 
 WORDS = 16_384
 WIDTH = 64
+FEATURES = 2 * WIDTH + 1
 HIDDEN = 32
 #: Bound of the labelled rows that the network is trained on.
 SAMPLE = 8_000
 PREDICT_ABOVE = 0.3
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_LETTER = _UPPER.copy()
-_LETTER[97:123] = True
-_LETTER[128:] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_MARK = ~_LETTER & ~_DIGIT
-_MARK[[0x20, *range(0x09, 0x0E)]] = False
-SHAPE = 14
-
-
-def _hashed(texts: list[bytes], numbers: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer, word hashes, starts, ends, text of each word, byte end of each text) of some texts."""
+#: Rows of one block of sums that one task adds up.
+FAN_IN = 256
+BLOCK = 256
+# Kinds of bytes: white space, letters and digits (and all beyond ASCII), marks.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def _hashed(texts: list[bytes], numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, the text of each) of some texts."""
     buffer = np.frombuffer(b"\n".join(texts[k] for k in numbers) + b"\n", np.uint8)
-    values, starts, ends = hashing.word_hashes(buffer, lower=True)
-    stop = np.cumsum([len(texts[k]) + 1 for k in numbers])
-    return buffer, values, starts, ends, np.searchsorted(stop, starts, side="right"), stop
+    kind = _KIND[buffer]
+    edge = np.flatnonzero(np.diff(kind, prepend=0))
+    starts = edge[kind[edge] > 0]
+    ends = np.append(edge, len(buffer))[np.searchsorted(edge, starts, side="right")]
+    values = hashing.ranges(hashing.prefix(hashing.byte_values(buffer)), starts, ends)
+    return values, np.searchsorted(np.cumsum([len(texts[k]) + 1 for k in numbers]), starts, side="right")
 
 
-def _row(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(40)).astype(np.int64) % WORDS
+def _rows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two rows of each word."""
+    return (values >> np.uint64(40)).astype(np.int64) % WORDS, (values >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.int64) % WORDS
 
 
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(sums of the neighbours' index vectors, occurrences) of each word row."""
+    """(sums of the neighbours' index vectors, occurrences) of each row."""
     sums, often = np.zeros(WORDS * WIDTH, np.int64), np.zeros(WORDS, np.int64)
     for numbers in hashing.groups([len(t) for t in texts]):
-        _, values, _, _, owner, _ = _hashed(texts, numbers)
-        row = _row(values)
-        often += np.bincount(row, minlength=WORDS)
+        values, owner = _hashed(texts, numbers)
         own = (hashing.mixed(values) >> np.uint64(1)).astype(np.int64)
         plus = own % WIDTH
         minus = (plus + 1 + (own >> 20) % (WIDTH - 1)) % WIDTH
+        to, by = [], []
+        at = np.arange(len(values))
         for gap in (1, 2):
-            if len(row) <= gap:
-                continue
             near = owner[gap:] == owner[:-gap]
-            left, right = row[:-gap][near], row[gap:][near]
-            p, m = plus[gap:][near], minus[gap:][near]
-            sums += np.bincount(left * WIDTH + p, minlength=len(sums))
-            sums -= np.bincount(left * WIDTH + m, minlength=len(sums))
-            p, m = plus[:-gap][near], minus[:-gap][near]
-            sums += np.bincount(right * WIDTH + p, minlength=len(sums))
-            sums -= np.bincount(right * WIDTH + m, minlength=len(sums))
+            to += (at[:-gap][near], at[gap:][near])
+            by += (at[gap:][near], at[:-gap][near])
+        to, by = np.concatenate(to), np.concatenate(by)
+        for row in _rows(values):
+            base = row[to] * WIDTH
+            sums += np.bincount(base + plus[by], minlength=len(sums))
+            sums -= np.bincount(base + minus[by], minlength=len(sums))
+            often += np.bincount(row, minlength=WORDS)
     return sums.reshape(WORDS, WIDTH), often
 
 
-def features(texts: list[bytes], table: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """The pooled word vector of each text, and its shape."""
-    out = np.zeros((len(texts), WIDTH + SHAPE), np.float32)
+def features(texts: list[bytes], table: np.ndarray, often: np.ndarray, total: int) -> np.ndarray:
+    """The pooled word vectors of each text, and the log of its length."""
+    out = np.zeros((len(texts), FEATURES), np.float32)
     for numbers in hashing.groups([len(t) for t in texts]):
-        buffer, values, starts, ends, owner, stop = _hashed(texts, numbers)
+        values, owner = _hashed(texts, numbers)
         n = len(numbers)
-        row = _row(values)
-        weight = rarity[row]
+        one, two = _rows(values)
+        row = np.where(often[one] <= often[two], one, two)
         words = np.bincount(owner, minlength=n)
         # Pooling over distinct (text, row) pairs: a sparse product with the table.
         pair, count = np.unique(owner * WORDS + row, return_counts=True)
-        amount = rarity[pair % WORDS] * count
-        pooled = np.zeros((n, WIDTH))
+        text, at = pair // WORDS, pair % WORDS
         if len(pair):
-            text = pair // WORDS
             first = np.flatnonzero(np.diff(text, prepend=-1))
-            pooled[text[first]] = np.add.reduceat(table[pair % WORDS] * amount[:, None], first, axis=0)
-        pooled /= np.maximum(np.bincount(owner, weight, n), 1e-9)[:, None]
-        at = np.concatenate(([0], stop[:-1]))
-        size = np.maximum(stop - at - 1, 1)
-        part = lambda mask: np.add.reduceat(mask.astype(np.int64), at)  # noqa: E731,B023
-        letters, upper, marks = part(_LETTER[buffer]), part(_UPPER[buffer]), part(_MARK[buffer])
-        length = (ends - starts).astype(float)
-        mean = np.bincount(owner, length, n) / np.maximum(words, 1)
-        spread = np.sqrt(np.maximum(np.bincount(owner, length**2, n) / np.maximum(words, 1) - mean**2, 0))
-        distinct = np.bincount(np.unique(owner * (1 << 20) + (values >> np.uint64(44)).astype(np.int64)) >> 20, minlength=n)
-        single = (ends - starts) == 1
-        lone = single & _MARK[buffer[np.minimum(starts, len(buffer) - 1)]]
-        twice = buffer[1:] == buffer[:-1]
-        shape = (
-            np.log1p(words), mean / 10, spread / 10, letters / size, upper / np.maximum(letters, 1), marks / size, part(_DIGIT[buffer]) / size,
-            distinct / np.maximum(words, 1), np.bincount(owner, lone, n) / np.maximum(words, 1), part(buffer == 10) / np.maximum(words, 1),
-            part(np.append(twice & _MARK[buffer[1:]], False)) / size, part(buffer == 124) / size, part(buffer == 46) / np.maximum(words, 1), words < 5,
-        )
-        out[numbers] = np.concatenate((pooled, np.stack(shape, axis=1)), axis=1)
+            for k, weight in enumerate((count * 1e-3 / (1e-3 + often[at] / max(total, 1)), count)):
+                pooled = np.zeros((n, WIDTH))
+                pooled[text[first]] = np.add.reduceat(table[at] * weight[:, None], first, axis=0)
+                out[numbers, k * WIDTH : (k + 1) * WIDTH] = pooled / np.maximum(np.bincount(text, weight, n), 1e-9)[:, None]
+        out[numbers, -1] = np.log1p(words)
     return out
 
 
@@ -169,50 +159,61 @@ class Model:
         mean = sums.sum(axis=0) / max(often.sum(), 1)
         centred = sums / np.maximum(often, 1)[:, None] - mean
         self.table = (centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        self.rarity = (1e-3 / (1e-3 + often / max(often.sum(), 1))).astype(np.float32)
-        self.network = Network(np.zeros((0, WIDTH + SHAPE)), np.zeros(0))
+        # Every occurrence is in two rows.
+        self.often, self.total = often, int(often.sum()) // 2
+        self.network = Network(np.zeros((0, FEATURES)), np.zeros(0))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        return features([(t or "").encode() for t in texts], self.table, self.rarity)
+        return features([(t or "").encode() for t in texts], self.table, self.often, self.total)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return self.network(self.features(texts).astype(float))
+        return self.network(self.features(texts).astype(float)) if texts else np.zeros(0)
+
+
+_SUMS = "block int, task long, sums binary, often binary"
 
 
-def _partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums, often = np.zeros((WORDS, WIDTH), np.int64), np.zeros(WORDS, np.int64)
-    for pdf in parts:
-        s, o = contexts([(t or "").encode() for t in pdf["text"]])
+    for b in sliced(batches):
+        s, o = contexts([(t or "").encode() for t in b.column(0).to_pylist()])
         sums += s
         often += o
-    for a in range(0, WORDS, 256):
-        yield pd.DataFrame({"block": [a], "sums": [sums[a : a + 256].tobytes()], "often": [often[a : a + 256].tobytes()]})
+    task = TaskContext.get().partitionId()
+    for a in range(0, WORDS, BLOCK):
+        if often[a : a + BLOCK].any():
+            parts = [pa.array([a], pa.int32()), pa.array([task], pa.int64()), pa.array([sums[a : a + BLOCK].tobytes()]), pa.array([often[a : a + BLOCK].tobytes()])]
+            yield pa.RecordBatch.from_arrays(parts, ["block", "task", "sums", "often"])
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     add = lambda c: sum(np.frombuffer(b, np.int64) for b in pdf[c]).tobytes()
-    return pd.DataFrame({"block": pdf["block"][:1], "sums": [add("sums")], "often": [add("often")]})
+    return pd.DataFrame({"block": pdf["block"][:1], "task": pdf["task"][:1] // FAN_IN, "sums": [add("sums")], "often": [add("often")]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Word vectors from all of `docs`; the network from at most about `sample` rows of `labels`.
 
-    `labels` has doc_id and label. What tasks send is `WORDS` x `WIDTH` sums each, in blocks.
+    `labels` has doc_id and label. What tasks send is `WORDS` x `WIDTH` sums each, in blocks; they are
+    added up in three levels, so that a task gets a block of at most `FAN_IN` others (and the last one
+    of as many as there are 65536 input tasks).
     """
-    shape = "block int, sums binary, often binary"
-    texts = docs.select(column(docs, "text", "string").alias("text"))
-    blocks = texts.mapInPandas(_partial, shape).groupBy("block").applyInPandas(_summed, shape).collect()
+    parts = docs.select(column(docs, "text", "string").alias("text")).mapInArrow(_partial, _SUMS)
+    for _ in range(2):
+        parts = parts.groupBy("block", F.floor(F.col("task") / FAN_IN).alias("_group")).applyInPandas(_summed, _SUMS)
+    blocks = parts.groupBy("block").applyInPandas(_summed, _SUMS).collect()
     sums, often = np.zeros((WORDS, WIDTH), np.int64), np.zeros(WORDS, np.int64)
     for r in blocks:
-        sums[r.block : r.block + 256] = np.frombuffer(r.sums, np.int64).reshape(-1, WIDTH)
-        often[r.block : r.block + 256] = np.frombuffer(r.often, np.int64)
+        sums[r.block : r.block + BLOCK] = np.frombuffer(r.sums, np.int64).reshape(-1, WIDTH)
+        often[r.block : r.block + BLOCK] = np.frombuffer(r.often, np.int64)
     model = Model(sums, often)
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame({"label": pdf["label"].to_numpy(), "x": [v.tobytes() for v in model.features(pdf["text"].tolist())]})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            x = model.features(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["label", "x"])
 
-    rows = sorted((r.label, r.x) for r in sample_of(docs, labels, sample).mapInPandas(of, "label int, x binary").limit(2 * sample).collect())
+    rows = sorted((r.label, bytes(r.x)) for r in sample_of(docs, labels, sample).mapInArrow(of, "label int, x binary").limit(2 * sample).collect())
     if rows:
         model.network = Network(np.array([np.frombuffer(x, np.float32) for _, x in rows], float), np.array([y for y, _ in rows], float))
     return model
@@ -221,12 +222,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of `docs`."""
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "score": model.scores(pdf["text"].tolist())})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    read = docs.select(column(docs, "doc_id", "string").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    return read.mapInPandas(of, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+    read = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
+    return read.mapInArrow(of, "doc_id long, score double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

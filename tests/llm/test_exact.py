@@ -325,7 +325,7 @@ TEXTS = [
 def test_personal_data_base(spark):
     texts = [r[0] for r in duck("/root/testdata/sf0.01").sql("select text from documents").fetchall()] + TEXTS
     for t in texts:
-        sure, _ = pii.spans_of(t, pii.fitted(np.zeros((0, 1)), np.zeros(0, int)))
+        sure, _ = pii.spans_of(t, pii.fitted(np.zeros((0, 1)), np.zeros(0, int), np.zeros((0, 3, 1))))
         kinds = [k for *_, k in sure]
         assert (*(kinds.count(k) for k in range(4)), hashlib.sha256(pii.joined(sure).encode()).hexdigest()) == pii.brute(t)
     got = {r.doc_id: r for r in pii.digest(odd.table(spark)).collect() if r.doc_id is not None}
@@ -333,7 +333,7 @@ def test_personal_data_base(spark):
 
 
 def test_personal_data_consistency():
-    weights = pii.fitted(np.zeros((0, 1)), np.zeros(0, int))
+    weights = pii.fitted(np.zeros((0, 1)), np.zeros(0, int), np.zeros((0, 3, 1)))
     spans = pii.spans_of("Call +1 555 123 4567 now. Later: 1 555 123 4567 again, but not 9 555 123 4567.", weights)[1]
     assert [(k, a) for a, _, k in spans] == [(3, 5), (3, 33)]
     assert pii.masked("me@x.org and ME@X.ORG", weights) == "<email> and <email>"
@@ -344,13 +344,39 @@ def test_personal_data_sample(spark):
     cards = " , ".join(["4111 1111 1111 1111"] * 70)
     one = spark.createDataFrame([(mails + " " + cards,)], "text string")
     # What stands behind the first candidates is learned too.
-    assert pii.fit(one)[pii._N_FEATURES - 2, 2] > 0
+    assert pii.fit(one).nodes[pii._N_FEATURES - 3, 2] > 0
     texts = [(f"call {k} +49 30 {1234567 + k} or 10.0.0.{k} or a{k}@ex.com",) for k in range(200)]
     plain, copied = (spark.createDataFrame(rows, "text string").repartition(n) for rows, n in ((texts, 3), (texts + texts[:1] * 2000 + texts[1:9] * 50, 5)))
-    assert np.array_equal(pii.fit(plain, 40), pii.fit(copied, 40))
+    a, b = pii.fit(plain, 40), pii.fit(copied, 40)
+    assert np.array_equal(a.nodes, b.nodes) and np.array_equal(a.edges, b.edges)
+
+
+def test_the_field_adds_spans(spark):
+    """Planted variants that no base pattern matches; what edges add goes with the edges."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = pii.fit(docs)
+    assert field.edges[pii.SAME] > 1
+    hidden = {
+        "email": "mail die.34@mail7.example.com or die.34 @ mail7.example.com", "ip": "host 10.20.30.40 or 10.20 .30.40",
+        "phone": "Call +1 (555) 123-4567 now. Later 1 (555) 123-4567", "secret": 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and',
+        "card": "Card 4111 1111 1111 1111 and 4111.1111.1111.1111",
+    }
+    added = {}
+    for kind, text in hidden.items():
+        sure, every = pii.spans_of(text, field)
+        added[kind] = [pii.KINDS[k] for a, b, k in every if (a, b, k) not in sure]
+    assert sum(kind in found for kind, found in added.items()) >= 4 and "card" in added["card"]
+    # Precision on texts with nothing to find.
+    clean = ["the value 5555-123-4567 is", "version 1.2.3.4.5.6 and 1 000 000 000 000", "a" * 60, "x-" * 40, "see http-tables-and-other-long-words-here", "9807 9157"]
+    assert [pii.spans_of(t, field)[1] for t in clean] == [[(8, 15, 1)] if "1.2.3.4" in t else [] for t in clean]
+    alone = pii.Field(field.nodes, np.zeros(3))
+    assert pii.spans_of(hidden["card"], alone)[0] == pii.spans_of(hidden["card"], alone)[1]
+    out = pii.find(docs, field).agg(F.sum("n_secret").alias("s"), F.sum("n_spans").alias("n"), F.sum(F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone")).alias("b")).first()
+    secrets = docs.agg(F.sum(F.size(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1)))).alias("s")).first().s
+    assert out.s >= secrets > 5 and out.n >= out.b + out.s
 
 
 def test_long_texts_are_linear():
-    weights = pii.fitted(np.zeros((0, 1)), np.zeros(0, int))
+    weights = pii.fitted(np.zeros((0, 1)), np.zeros(0, int), np.zeros((0, 3, 1)))
     for t in ("1" * 200_000, "a" * 200_000 + "@", "a@" * 50_000, "1." * 50_000):
         pii.spans_of(t, weights)

@@ -263,6 +263,42 @@ def test_media_of_several_images():
         jpeg.decode([b"no image"])
 
 
+@pytest.mark.parametrize(("width", "height", "colour"), [(64, 48, True), (100, 37, True), (8, 8, False), (33, 90, False)])
+def test_files_of_another_encoder(spark, width, height, colour):
+    """Java's encoder writes colour with halved chroma; its decoder's luminance is the truth."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(width, height, 1 if colour else 10)
+    for x in range(width):
+        for y in range(height):
+            r, g, b = (x * 255 // width, y * 255 // height, (x + y) * 255 // (width + height)) if colour else [(x * 3 + y * 2) % 256] * 3
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    media = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(media)).getData()
+    got_width, got_height, thumbnail, digest, error = jpeg.read(media)
+    assert (got_width, got_height, error) == (width, height, None) and len(digest) == 16
+    shown = np.frombuffer(thumbnail, np.uint8).reshape(-(-height // 8), -(-width // 8))
+    for bx in range(width // 8):
+        for by in range(height // 8):
+            pixels = np.array(back.getPixels(8 * bx, 8 * by, 8, 8, spark.sparkContext._gateway.new_array(jvm.int, 64 * (3 if colour else 1)))).reshape(64, -1)
+            truth = (pixels @ [0.299, 0.587, 0.114]).mean() if colour else pixels.mean()
+            assert abs(shown[by, bx] - truth) <= 3
+    files = spark.createDataFrame([(1, bytearray(media), "x"), (2, None, "x"), (3, bytearray(b"GIF89a"), "x"), (4, bytearray(media[:-40]), "x"), (5, bytearray(), "x")], "id long, media binary, error string")
+    rows = {r.id: r for r in jpeg.thumbnails(files).collect()}
+    assert bytes(rows[1].thumbnail) == thumbnail and rows[2].error is None and all(rows[k].thumbnail is None and "not decoded" in rows[k].error for k in (3, 4, 5))
+
+
+def test_decontamination_of_unspaced_scripts_and_marks(spark):
+    items = [(1, "今天天气很好我们一起去公园散步吧"), (2, "यह एक छोटा सा परीक्षण वाक्य है"), (3, "สวัสดีครับผมชื่อสมชาย")]
+    docs = [(1, "他说：今天天气很好，我们一起去公园散步吧！然后走了。"), (2, "उसने कहा यह एक छोटा सा परीक्षण वाक्य है और गया"), (3, "พูดว่าสวัสดีครับผมชื่อสมชายแล้วก็ไป"), (4, "天 今 好"), (5, "यह दूसरा वाक्य है")]
+    got = decontamination.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+    left = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [4, 5]
+    assert decontamination.decontaminate(odd.empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def test_decontamination(spark):
     r = np.random.default_rng(9)
     word = lambda: f"q{r.integers(0, 3000)}"

@@ -1,7 +1,7 @@
 """Benchmark decontamination: documents that hold a test item within an edit budget.
 
-Texts are compared as words, lower-cased and stripped to letters and digits. An item of m words has
-a budget of floor(m / 5) word edits, a similarity of 0.8. It is split into budget + 1 pieces: within
+Texts are compared as words, lower-cased and stripped to letters, their combining marks and digits;
+where a script has no spaces between words, each letter is a word. An item of m words has a budget of floor(m / 5) word edits, a similarity of 0.8. It is split into budget + 1 pieces: within
 the budget at least one piece stands in the document unchanged. Pieces are found by hashes of the
 document's grams of the pieces' lengths; each hit is verified by Myers' bit-parallel distance of the
 whole item against the stretch of the document around the hit, whose end may lie anywhere in it.
@@ -11,7 +11,9 @@ pass over the documents for each block, so their number is not bounded by a broa
 
 Items shorter than `SHORTEST` words have no room for an edit; they must stand in the document as they
 are. Defined results: items and documents without words match nothing; equal items count each; null
-item ids and doc_ids stay null; rows with one id are judged each for itself.
+item ids and doc_ids stay null; rows with one id are judged each for itself; of ties the first stretch
+counts; texts of any length are read whole; an empty table of documents gives an empty one, an empty
+benchmark finds nothing; other columns pass through `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,23 +21,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import hashing
-from tidelog.llm.common import column, filtered
+from tidelog.llm.common import column, filtered, sliced
 
 EDITS_PER_WORD = 5
 SHORTEST = 5
 BLOCK_BYTES = 8 << 20
-_ALNUM = r"[^\p{L}\p{N}]+"
+_OTHER = r"[^\p{L}\p{M}\p{N}]+"
+#: Scripts that are written without spaces between words.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*)"
 _FOUND = "item_id long, distance int, budget int, first int, last int"
 
 
 def normal(text):
-    """Lower-case words of letters and digits, joined by one space."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _ALNUM, " "))
+    """Lower-case words of letters, marks and digits, joined by one space."""
+    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _OTHER, " ")
+    apart = F.regexp_replace(F.regexp_replace(words, _UNSPACED, " $1 "), " +", " ")
+    return F.trim(F.when(words.rlike(_UNSPACED), apart).otherwise(words))
 
 
 def budget_of(words: int) -> int:
@@ -150,11 +156,12 @@ class Pieces:
 def _search(block: list[tuple[int | None, str]]):
     pieces = Pieces([(k, t.split()) for k, t in block])
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            ids = pdf["doc_id"].tolist()
-            rows = [(ids[k], *x) for k, *x in pieces.search(pdf["words"].tolist())]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "first", "last"]).astype({"item_id": "Int64"})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            ids = b.column(0).to_pylist()
+            rows = [(ids[k], *x) for k, *x in pieces.search(b.column(1).to_pylist())]
+            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "distance", "budget", "first", "last"])
 
     return of
 
@@ -185,12 +192,12 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
 def found(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, budget, first, last): each item in each document, with the words
     of the normal text between which its closest stretch lies."""
-    read = docs.select(column(docs, "doc_id", "string").alias("doc_id"), normal(column(docs, "text", "string")).alias("words"))
-    schema = f"doc_id string, {_FOUND}"
+    read = docs.select(column(docs, "doc_id", "long").alias("doc_id"), normal(column(docs, "text", "string")).alias("words"))
+    schema = f"doc_id long, {_FOUND}"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(benchmark, block_bytes):
-        out = out.unionByName(read.mapInPandas(_search(block), schema))
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+        out = out.unionByName(read.mapInArrow(_search(block), schema))
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -8,25 +8,30 @@ restart interval. Payloads beyond `ROWS` rows are stored as several images, one
 The decoder parses the markers, takes quantiser, Huffman tables, dimensions and restart interval
 from them, and decodes the scan's DC coefficients; the block means it reconstructs are the image's
 thumbnail, one luminance sample for each block. All restart intervals of a batch of images are
-decoded together, a symbol of each at a time, in numpy. AC symbols are decoded and skipped, so any
-baseline greyscale file of whole blocks works.
+decoded together, a symbol of each at a time, in numpy. AC symbols are decoded and skipped. Files of
+other encoders may have several components with sampling factors, in one scan or one scan each: the
+first component, the luminance, is kept. `thumbnails` reads a column of such files.
 
 Defined results: a null or empty text is one row of 64 zeros; equal texts have equal bytes; longer
-texts have more rows, whatever their length; other columns are not carried.
+texts have more rows, whatever their length; other columns are not carried. A file that is no baseline
+JPEG of 8 bits, or is cut off, has a null thumbnail and says why; a null file has nulls alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import column
+from tidelog.llm.common import column, sliced
 
 COLUMNS = 64
 #: Block rows that an image of 16-bit height holds.
@@ -38,6 +43,7 @@ SLICE = 1 << 20
 # symbols are end of block, and the run of 16 zeros that no image here has.
 _DC_LENGTHS = {0: 5, 1: 5, 2: 4, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 8: 5}
 _AC_LENGTHS = {0x00: 1, 0xF0: 2}
+_MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
 _SHAPE = "doc_id long, n_bytes long, width int, height int, media binary, thumbnail binary, feature string"
 
 
@@ -164,25 +170,55 @@ def _parsed(media: bytes) -> Iterator[dict]:
                     n = sum(body[1:17])
                     image["tables"][body[0]] = body[1 : 17 + n]
                     body = body[17 + n :]
-            elif marker == 0xC0:
+            elif marker in (0xC0, 0xC1):
                 image["height"], image["width"] = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-                if body[0] != 8 or body[5] != 1:
-                    raise ValueError("only greyscale of 8 bits is decoded")
-                image["quantiser"] = body[8]
+                if body[0] != 8 or not image["height"] or not image["width"]:
+                    raise ValueError("only samples of 8 bits and known dimensions are decoded")
+                image["parts"] = {body[k]: (body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)}
             elif marker == 0xDD:
                 image["restart"] = int.from_bytes(body, "big")
             elif marker == 0xDA:
-                image["dc"], image["ac"] = image["tables"][body[2] >> 4], image["tables"][0x10 | body[2] & 15]
-                break
-            elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                scan = {body[k]: (image["tables"][body[k + 1] >> 4], image["tables"][0x10 | body[k + 1] & 15]) for k in range(1, 1 + 2 * body[0], 2)}
+                if next(iter(image["parts"])) in scan:
+                    _shape_of(image, scan)
+                    break
+                at = _marker_after(media, at)
+            elif marker == 0xD9:
+                raise ValueError("no scan of the luminance")
+            elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("only baseline images are decoded")
-        image["begin"] = at
-        end = media.find(b"\xff\xd9", at)
-        image["end"] = end
+        image["begin"], image["end"] = at, _marker_after(media, at)
+        end = media.find(b"\xff\xd9", image["end"])
+        if end < 0:
+            raise ValueError("no end of image")
         at = end + 2
         yield image
 
 
+def _marker_after(media: bytes, at: int) -> int:
+    """Where a scan's data end: at the next marker but restarts."""
+    m = _MARKER.search(media, at)
+    if not m:
+        raise ValueError("no end of scan")
+    return m.start()
+
+
+def _shape_of(image: dict, scan: dict) -> None:
+    """The blocks of a scan: tables by block within a unit, units, and how the luminance lies in them."""
+    luminance = next(iter(image["parts"]))
+    across, down, image["quantiser"] = image["parts"][luminance]
+    widest, highest = (max(p[k] for p in image["parts"].values()) for k in (0, 1))
+    samples = -(-image["width"] * across // widest), -(-image["height"] * down // highest)
+    image["columns"], image["rows"] = -(-samples[0] // 8), -(-samples[1] // 8)
+    if len(scan) == 1:
+        across = down = 1
+        image["pattern"], units = ((*scan[luminance], True, luminance),), (image["columns"], image["rows"])
+    else:
+        image["pattern"] = tuple((*tables, part == luminance, part) for part, tables in scan.items() for _ in range(image["parts"][part][0] * image["parts"][part][1]))
+        units = -(-image["width"] // (8 * widest)), -(-image["height"] // (8 * highest))
+    image["unit"], image["units"] = (across, down), units
+
+
 def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(symbol, code length) by the next 16 bits of the scan."""
     symbol, bits = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -202,23 +238,35 @@ def decode(media: list[bytes]) -> list[tuple[int, int, bytes]]:
     groups: dict[tuple, list[tuple[int, int, dict]]] = {}
     for m, images in enumerate(found):
         for k, image in enumerate(images):
-            blocks = (image["width"] + 7) // 8 * ((image["height"] + 7) // 8)
-            image["blocks"] = blocks
-            key = (image["dc"], image["ac"], image["quantisers"][image["quantiser"]], image["restart"] or blocks)
+            total = image["units"][0] * image["units"][1]
+            key = (image["pattern"], image["quantisers"][image["quantiser"]], image["restart"] or total)
             groups.setdefault(key, []).append((m, k, image))
     thumbnails: dict[tuple[int, int], bytes] = {}
-    for (dc, ac, quantiser, restart), members in groups.items():
+    for (pattern, quantiser, restart), members in groups.items():
         scans = [np.frombuffer(media[m], np.uint8)[i["begin"] : i["end"]] for m, _, i in members]
-        samples = _dc_samples(scans, [i["blocks"] for _, _, i in members], dc, ac, quantiser, restart)
-        for (m, k, _), s in zip(members, samples, strict=True):
-            thumbnails[m, k] = s
+        samples = _dc_samples(scans, [i["units"][0] * i["units"][1] for _, _, i in members], pattern, quantiser, restart)
+        for (m, k, image), s in zip(members, samples, strict=True):
+            thumbnails[m, k] = _raster(s, image)
     return [
         (images[0]["width"], sum(i["height"] for i in images), b"".join(thumbnails[m, k] for k in range(len(images))))
         for m, images in enumerate(found)
     ]
 
 
-def _dc_samples(scans: list[np.ndarray], blocks: list[int], dc: bytes, ac: bytes, quantiser: int, restart: int) -> list[bytes]:
+def _raster(samples: np.ndarray, image: dict) -> bytes:
+    """Luminance samples in the order of the scan, by rows, without what lies beyond the image."""
+    (across, down), (units, rows) = image["unit"], image["units"]
+    if (across, down) == (1, 1):
+        return samples.reshape(rows, units)[: image["rows"], : image["columns"]].tobytes()
+    blocks = samples.reshape(rows, units, down, across).swapaxes(1, 2).reshape(rows * down, units * across)
+    return np.ascontiguousarray(blocks[: image["rows"], : image["columns"]]).tobytes()
+
+
+def _dc_samples(scans: list[np.ndarray], units: list[int], pattern: tuple, quantiser: int, restart: int) -> list[np.ndarray]:
+    """The luminance's block means of each scan, in the scan's order.
+
+    `pattern` has the tables of each block of a unit and whether it is luminance; `restart` is in units."""
+    blocks, restart = [n * len(pattern) for n in units], restart * len(pattern)
     data = np.concatenate([*scans, np.zeros(8, np.uint8)])
     # Stuffed zeros and restart markers go; where an interval begins is kept.
     after = np.zeros(len(data), bool)
@@ -239,14 +287,19 @@ def _dc_samples(scans: list[np.ndarray], blocks: list[int], dc: bytes, ac: bytes
     d = data.astype(np.uint32)
     word = (d[:-3] << np.uint32(24)) | (d[1:-2] << np.uint32(16)) | (d[2:-1] << np.uint32(8)) | d[3:]
     word = np.append(word, np.zeros(8, np.uint32))
-    dc_symbol, dc_bits = _lookup(dc)
-    ac_symbol, ac_bits = _lookup(ac)
-    bit, level = starts * 8, np.zeros(len(starts), np.int64)
+    tables = {t: _lookup(t) for part in pattern for t in part[:2]}
+    predictor = _predictors(pattern)
+    bit, levels = starts * 8, {p: np.zeros(len(starts), np.int64) for p in predictor}
     width = int(lanes.max())
-    out = np.zeros((len(starts), width), np.int64)
+    kept = np.flatnonzero([pattern[k % len(pattern)][2] for k in range(width)])
+    place = {int(k): n for n, k in enumerate(kept)}
+    out = np.zeros((len(starts), len(kept)), np.int64)
     every = int(lanes.min())
     live = np.arange(len(starts))
     for k in range(width):
+        dc, ac = pattern[k % len(pattern)][:2]
+        (dc_symbol, dc_bits), (ac_symbol, ac_bits) = tables[dc], tables[ac]
+        level = levels[predictor[k % len(pattern)]]
         if k >= every:
             live = np.flatnonzero(lanes > k)
         at = bit[live] if k >= every else bit
@@ -258,7 +311,8 @@ def _dc_samples(scans: list[np.ndarray], blocks: list[int], dc: bytes, ac: bytes
         half = (1 << category) >> 1
         step = np.where(amplitude < half, amplitude - (1 << category) + 1, amplitude)
         level[live] += step
-        out[live, k] = level[live]
+        if k in place:
+            out[live, place[k]] = level[live]
         # AC symbols up to the end of the block.
         coefficient, busy = np.ones(len(at), np.int64), np.arange(len(at))
         while len(busy):
@@ -268,11 +322,20 @@ def _dc_samples(scans: list[np.ndarray], blocks: list[int], dc: bytes, ac: bytes
             coefficient[busy] += np.where(symbol == 0, 64, (symbol >> 4) + 1)
             busy = busy[coefficient[busy] < 64]
         bit[live] = at
-    # A flat block's level: DC x quantiser / 8, around 128.
+    # A block's mean: DC x quantiser / 8, around 128.
     value = np.clip(np.rint(out * quantiser / 8) + 128, 0, 255).astype(np.uint8)
-    flat = value.ravel() if every == width else value[np.arange(width)[None, :] < lanes[:, None]]
-    ends = np.cumsum(blocks)
-    return [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), blocks, strict=True)]
+    flat = value.ravel() if every == width else value[kept[None, :] < lanes[:, None]]
+    own = sum(p[2] for p in pattern)
+    ends = np.cumsum([n * own for n in units])
+    return [flat[e - n * own : e] for e, n in zip(ends.tolist(), units, strict=True)]
+
+
+def _predictors(pattern: tuple) -> list[int]:
+    """Whose DC each block of a unit goes on from: blocks of one component stand together."""
+    out = [0]
+    for k in range(1, len(pattern)):
+        out.append(out[-1] + (pattern[k][3] != pattern[k - 1][3]))
+    return out
 
 
 def _look(word: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -283,6 +346,8 @@ def _look(word: np.ndarray, bit: np.ndarray) -> np.ndarray:
 def difference_hash(thumbnail: bytes, columns: int = COLUMNS) -> str:
     """64 bits: in an 8 x 9 shrink of the thumbnail, whether each cell is darker than the next."""
     t = np.frombuffer(thumbnail, np.uint8).reshape(-1, columns)
+    if columns < 9:
+        t, columns = np.repeat(t, -(-9 // columns), axis=1), columns * -(-9 // columns)
     rows = np.arange(8) * len(t) // 8
     strips = np.add.reduceat(t, np.unique(rows), axis=0, dtype=np.int64)[np.searchsorted(np.unique(rows), rows)]
     heights = np.diff(np.append(np.unique(rows), len(t)))[np.searchsorted(np.unique(rows), rows)]
@@ -350,6 +415,34 @@ def media(docs: DataFrame) -> DataFrame:
     return _with_ids(_read(docs).mapInPandas(_media, _SHAPE.replace("doc_id long", "doc_id string")))
 
 
+def read(media: bytes | None) -> tuple[int | None, int | None, bytes | None, str | None, str | None]:
+    """(width, height, thumbnail, its hash, error) of a file of any encoder; images in a row are stacked."""
+    if media is None:
+        return None, None, None, None, None
+    try:
+        width, height, thumbnail = decode([bytes(media)])[0]
+        return width, height, thumbnail, difference_hash(thumbnail, -(-width // 8)), None
+    except (ValueError, IndexError, KeyError, StopIteration) as e:
+        return None, None, None, None, f"not decoded: {e}"
+
+
+def thumbnails(files: DataFrame, media: str = "media") -> DataFrame:
+    """`files` with width, height, thumbnail, thumbnail_hash and error of the JPEG files in a binary
+    column; its own columns of these names give way."""
+    names = ("width", "height", "thumbnail", "thumbnail_hash", "error")
+    kept = [c for c in files.columns if c.lower() not in names]
+    schema = T.StructType([*(f for f in files.schema if f.name in kept), *(T.StructField(n, t) for n, t in zip(names, (T.IntegerType(), T.IntegerType(), T.BinaryType(), T.StringType(), T.StringType()), strict=True))])
+    at = kept.index(media)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            rows = [read(m) for m in b.column(at).to_pylist()]
+            added = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], [*kept, *names])
+
+    return files.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(of, schema)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The same, with digests in place of the stored and the read bytes."""
     shape = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

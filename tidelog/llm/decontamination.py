@@ -32,16 +32,17 @@ EDITS_PER_WORD = 5
 SHORTEST = 5
 BLOCK_BYTES = 8 << 20
 _OTHER = r"[^\p{L}\p{M}\p{N}]+"
-#: Scripts that are written without spaces between words.
-_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*)"
+#: Scripts that are written without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}]"
 _FOUND = "item_id long, distance int, budget int, first int, last int"
 
 
 def normal(text):
     """Lower-case words of letters, marks and digits, joined by one space."""
     words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _OTHER, " ")
-    apart = F.regexp_replace(F.regexp_replace(words, _UNSPACED, " $1 "), " +", " ")
-    return F.trim(F.when(words.rlike(_UNSPACED), apart).otherwise(words))
+    apart = F.regexp_replace(F.regexp_replace(words, rf"((?!\p{{M}}){_UNSPACED}\p{{M}}*)", " $1 "), " +", " ")
+    # One look at the text as it is tells whether there are any.
+    return F.trim(F.when(F.coalesce(text.rlike(_UNSPACED), F.lit(False)), apart).otherwise(words))
 
 
 def budget_of(words: int) -> int:

@@ -153,9 +153,12 @@ def test_near_copies_around_a_base(spark):
     assert listed(near_dedup.digest(docs)) == sorted(brute_components(rows, 4), key=str)
 
 
-@pytest.mark.parametrize("small", [3, near_dedup.SMALL])
-def test_large_buckets_are_split_exactly(spark, small):
-    """Families with substitutions, cuts and additions, and versions that follow one another."""
+@pytest.mark.parametrize(("small", "copy", "hot_share"), [(3, near_dedup.COPY, near_dedup.HOT_SHARE), (3, 4, 64), (near_dedup.SMALL, 4, 64)])
+def test_large_buckets_are_split_exactly(spark, monkeypatch, small, copy, hot_share):
+    """Families with substitutions, cuts and additions, and versions that follow one another; buckets
+    that need several copies of their figures, and hot ones."""
+    for name, value in (("COPY", copy), ("HOT_SHARE", hot_share), ("HOT_ROWS", 0 if copy < near_dedup.COPY else near_dedup.HOT_ROWS)):
+        monkeypatch.setattr(near_dedup, name, value)
     r = np.random.default_rng(8)
     texts = []
     for f in range(3):

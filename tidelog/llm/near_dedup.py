@@ -23,7 +23,9 @@ one if there are fewer). Two documents are linked if 100 x intersection >= 80 x
 
 Every step is linear in a bucket's nodes: in 4 a node meets fewer than `SMALL` others of a bucket
 (twice as many at each further level). Nothing gathers a bucket in one task: buckets are aggregates
-and joins, and the text of a centre goes to as many partitions as its nodes fill.
+and joins, and what all rows of a bucket need (its centre's text, sketch and root) goes to as many
+partitions as they fill. They learn how many they are where they lie if they are more than a
+`HOT_SHARE`th of all rows; no more than `HOT_SHARE` buckets can be that large.
 
 Defined results: a text without words is empty and linked with nothing; rows with one doc_id count as
 one document for links; ids may be any 64-bit numbers. A null doc_id is no one's component_id: the
@@ -54,8 +56,11 @@ MOST_BITS = 235
 PERCENT = 80
 #: Nodes of a bucket that may meet in pairs; larger buckets are split.
 SMALL = 128
-#: Pairs with one centre that share a copy of its text.
+#: Pairs with one centre that share a copy of its text, rows of one bucket that share a copy of its figures.
 COPY = 256
+#: A bucket with more than its share of all rows, `1 / HOT_SHARE` of them, is a hot one.
+HOT_SHARE = 1024
+HOT_ROWS = 1000
 
 _random = np.random.default_rng(7_062_024)
 _FLIP = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -198,7 +203,7 @@ def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int, sm
     """The components of the classes, as `components` gives them, from `links` and all similar pairs."""
     banded = classes.select("node", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = tables.store(banded.join(sizes, "key"))
+    buckets = tables.store(_sized(banded, sizes, BANDS * classes.count()))
     weights = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
     nodes = tables.store(weights.join(classes.select("node", "n", "s1", "sketch", "doc_id", "text_hash"), "node"))
     same_row = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
@@ -227,18 +232,38 @@ def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int, sm
         if large.isEmpty():
             return graph
         alive = tables.store(_beyond(large, compared))
-        buckets = tables.store(_parts(alive, large, compared))
+        parts = tables.store(_parts(alive, large, compared))
+        buckets = tables.store(_sized(parts, _several(parts), parts.count()))
         if buckets.isEmpty():
             return graph
         small *= 2
 
 
+def _sized(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """The rows (key, node, size) of the `total` ones of `rows` whose keys are in `sizes` (key, size)."""
+    limit = HOT_ROWS + total // HOT_SHARE
+    if total <= limit:
+        return rows.join(sizes, "key").select("key", "node", "size")
+    hot = F.broadcast(sizes.filter(F.col("size") > limit).withColumnRenamed("size", "hot_size"))
+    there = rows.join(hot, "key", "left")
+    rest = there.filter("hot_size is null").join(sizes.filter(F.col("size") <= limit), "key")
+    return there.filter("hot_size is not null").select("key", "node", F.col("hot_size").alias("size")).unionByName(rest.select("key", "node", "size"))
+
+
+def _told(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """`rows` (key, node, size, ...) with what `facts` (key, size, ...) has of their keys."""
+    copies = 1 + F.floor(F.col("size") / COPY).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), copies - 1))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), copies).cast("int"))
+    return salted.join(facts.withColumn("salt", salts).drop("size"), ["key", "salt"]).drop("salt")
+
+
 def _centred(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, node, size, n, c, apart): each node of a bucket, its centre, and how far their sketches differ."""
     rows = buckets.join(nodes, "node")
-    centres = rows.groupBy("key").agg(F.max_by("node", F.struct("weight", "s1", "node")).alias("c"))
+    centres = rows.groupBy("key").agg(F.max_by("node", F.struct("weight", "s1", "node")).alias("c"), F.max("size").alias("size"))
     centres = centres.join(nodes.select(F.col("node").alias("c"), F.col("sketch").alias("other")), "c")
-    return rows.join(centres, "key").select("key", "node", "size", "n", "c", _apart().alias("apart"))
+    return _told(rows, centres).select("key", "node", "size", "n", "c", _apart().alias("apart"))
 
 
 def _mixed(placed: DataFrame, graph: DataFrame) -> DataFrame:
@@ -247,8 +272,9 @@ def _mixed(placed: DataFrame, graph: DataFrame) -> DataFrame:
     rooted = placed.join(graph.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     centre = F.col("node") == F.col("c")
     roots = [f(F.when(~centre, F.col("root"))).alias(name) for f, name in ((F.min, "least"), (F.max, "most"))]
-    several = rooted.groupBy("key").agg(*roots, F.max(F.when(centre, F.col("root"))).alias("c_root")).filter("least < most").select("key", "c_root")
-    return rooted.filter(~centre).join(several, "key").select("key", "node", "size", "n", "c", "root", (F.col("root") != F.col("c_root")).alias("stray"))
+    of_centre = F.max(F.when(centre, F.col("root"))).alias("c_root")
+    several = rooted.groupBy("key").agg(*roots, of_centre, F.max("size").alias("size")).filter("least < most").select("key", "size", "c_root")
+    return _told(rooted.filter(~centre), several).select("key", "node", "size", "n", "c", "root", (F.col("root") != F.col("c_root")).alias("stray"))
 
 
 def _across(few: DataFrame) -> DataFrame:
@@ -285,16 +311,19 @@ def _beyond(large: DataFrame, compared: DataFrame) -> DataFrame:
 
 
 def _parts(alive: DataFrame, large: DataFrame, compared: DataFrame) -> DataFrame:
-    """The buckets (key, node, size) that large ones fall into."""
+    """The nodes (key, node, root) of the buckets that large ones fall into."""
     chosen = alive.filter("chosen").select("c", "s").distinct()
     shared = alive.select("c", "s", "node", "root").join(chosen, ["c", "s"]).select(F.xxhash64("c", "s").alias("key"), "node", "root")
     most = F.when(F.col("stray"), F.floor(9 * F.col("both") / 4) - F.col("nu"))
     sized = _split(large, compared).select("c", "node", "root", "nu", most.alias("most"))
     limits = sized.groupBy("c").agg(F.min("nu").alias("lo"), F.max("most").alias("hi")).filter("lo <= hi")
     small = sized.join(limits, "c").filter("nu <= hi or most >= lo").select(F.xxhash64("c", F.lit("small")).alias("key"), "node", "root")
-    rows = shared.unionByName(small).distinct()
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key", "size")
-    return rows.join(several, "key").select("key", "node", "size")
+    return shared.unionByName(small).distinct()
+
+
+def _several(parts: DataFrame) -> DataFrame:
+    """(key, size) of the buckets with nodes of several components."""
+    return parts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key", "size")
 
 
 def digest(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFrame:

@@ -9,10 +9,13 @@ The suffix array is built by linear grouping. Suffixes are grouped by their Lynd
 highest group down, each suffix points to the nearest suffix before it in a lower group, and the
 suffixes pointed at move to new groups just above their own, by how many pointers they got. The
 array then fills from the left: each emitted suffix emits the ones that it is the next smaller suffix
-of, each at the front of its group. No prefix is renamed or sorted recursively.
+of, each at the front of its group. No prefix is renamed or sorted recursively. Highest groups that do
+not point at each other, and at no suffix twice, are taken in one step of arrays: of what they point
+at in one group, the suffixes that the higher ones point at come higher.
 
 A shard's segments with one anchor are laid over each other at it. To the right of the windows'
-starts, columns in which they all agree need only one symbol, so the sorted string is short.
+starts, columns in which they all agree need only one symbol, so the sorted string is short. Symbols
+rise with the column first, so that groups of one column are taken together.
 
 Defined results: a null or empty text is empty; null ids come last, and rows with one id never
 remove each other's bytes, as neither id is smaller; other columns are not carried.
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from numpy.typing import ArrayLike
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,9 @@ from tidelog.llm.repeats import Segments, Unit, Verdicts, removed
 WINDOW = 50
 GRAM = 20
 #: Segments whose suffixes are sorted at once, where no group has more.
-SEGMENTS = 2_000
+SEGMENTS = 8_000
+#: How many steps of arrays may be small before the rest is taken group by group, and what is small.
+STEPS, LEAST = 32, 256
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -48,12 +54,12 @@ def suffix_array(symbols: np.ndarray) -> list[int]:
     group_of[ordered] = np.repeat(begins, widths)
     where = np.empty(n, np.int64)
     where[ordered] = np.arange(n)
+    width = np.zeros(n, np.int64)
+    width[begins] = widths
+    smaller = np.full(n, -1)
+    end = _together(ordered, where, group_of, width, smaller)
     place, where, group = ordered.tolist(), where.tolist(), group_of.tolist()
-    width = [0] * n
-    for b, w in zip(begins.tolist(), widths.tolist(), strict=True):
-        width[b] = w
-    smaller = [-1] * n
-    end = n
+    width, smaller = width.tolist(), smaller.tolist()
     while end:
         low = group[place[end - 1]]
         if end - low == 1:
@@ -111,6 +117,72 @@ def suffix_array(symbols: np.ndarray) -> list[int]:
     return out
 
 
+def _together(place: np.ndarray, where: np.ndarray, group: np.ndarray, width: np.ndarray, smaller: np.ndarray) -> int:
+    """Takes highest groups in steps of many while that pays; all from the returned place on are done."""
+    n = end = len(place)
+    small, reach = 0, 1 << 12
+    marked, latest = np.zeros(n, bool), np.empty(n, np.int64)
+    while end and small < STEPS:
+        begin = group[place[max(0, end - reach)]]
+        i = place[begin:end]
+        j = i - 1
+        over = np.flatnonzero((j >= 0) & (group[j] >= end))
+        while len(over):
+            j[over] = smaller[j[over]]
+            over = over[(j[over] >= 0) & (group[j[over]] >= end)]
+        at = np.where(j >= 0, group[j], -1)
+        highest = np.maximum.accumulate(at[::-1])[::-1]
+        k = np.arange(begin, end)
+        low = k[(group[i] == k) & (highest < k)]
+        if not len(low):
+            break
+        low = int(low[0])
+        if low == begin and begin and len(i) < n // 2:
+            reach *= 4
+            continue
+        reach = max(1 << 12, 2 * (end - low))
+        i, j = i[low - begin :], j[low - begin :]
+        by = group[i[j >= 0]]
+        pointed = j[j >= 0]
+        marked[pointed] = True
+        number = np.arange(len(pointed))
+        latest[pointed] = number
+        if (latest[pointed] != number).any():
+            break
+        if len(pointed):
+            _raise_all(pointed, by, place, where, group, width, marked)
+        marked[pointed] = False
+        smaller[i] = j
+        small += end - low < LEAST
+        end = low
+    return end
+
+
+def _raise_all(j: np.ndarray, by: np.ndarray, place: np.ndarray, where: np.ndarray, group: np.ndarray, width: np.ndarray, marked: np.ndarray) -> None:
+    """Moves the suffixes j to the tops of their groups, in groups of their own by what points at them."""
+    order = np.lexsort((by, group[j]))
+    j, by = j[order], by[order]
+    g = group[j]
+    new = np.concatenate(([True], g[1:] != g[:-1]))
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(j)))
+    rest = width[g[first]] - many
+    floor = g + np.repeat(rest, many)
+    to = floor + np.arange(len(j)) - np.repeat(first, many)
+    # As many others leave a group's top as places fall free below it.
+    others = place[to]
+    others = others[~marked[others]]
+    free = where[j]
+    free = free[free < floor]
+    place[free], where[others] = others, free
+    place[to], where[j] = j, to
+    part = np.flatnonzero(new | np.concatenate(([True], by[1:] != by[:-1])))
+    sizes = np.diff(np.append(part, len(j)))
+    group[j] = np.repeat(to[part], sizes)
+    width[g[first]] = rest
+    width[to[part]] = sizes
+
+
 def _raise(j: int, to: int, place: list[int], where: list[int], group: list[int]) -> None:
     """Swaps suffix j into the place `to` and makes it a group of its own there."""
     at, other = where[j], place[to]
@@ -119,27 +191,34 @@ def _raise(j: int, to: int, place: list[int], where: list[int], group: list[int]
     group[j] = to
 
 
-def common_prefixes(symbols: list[int], order: list[int]) -> list[int]:
-    """For each suffix in order: the length it shares with the one before it."""
+def common_prefixes(symbols: ArrayLike, order: ArrayLike) -> np.ndarray:
+    """For each suffix in order: the length it shares with the one before it.
+
+    Where a suffix and the one before it follow equal symbols, they share one less than what those
+    begin; only the others are compared."""
+    symbols, order = np.asarray(symbols, np.int64), np.asarray(order, np.int64)
     n = len(order)
-    rank = [0] * n
-    for k, i in enumerate(order):
-        rank[i] = k
-    out = [0] * n
+    if not n:
+        return np.zeros(0, np.int64)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    # The end differs from every symbol.
+    padded = np.append(symbols, -1)
+    at = np.arange(n)
+    compared = (at == 0) | (before <= 0)
+    compared |= padded[at - 1] != padded[before - 1]
+    first = np.flatnonzero(compared)
+    shared = np.zeros(len(first), np.int64)
+    live = np.flatnonzero(before[first] >= 0)
     h = 0
-    for i in range(n):
-        r = rank[i]
-        if r:
-            j = order[r - 1]
-            most = n - max(i, j)
-            while h < most and symbols[i + h] == symbols[j + h]:
-                h += 1
-            out[r] = h
-            if h:
-                h -= 1
-        else:
-            h = 0
-    return out
+    while len(live):
+        i = first[live]
+        live = live[padded[i + h] == padded[before[i] + h]]
+        h += 1
+        shared[live] = h
+    lengths = np.diff(np.append(first, n))
+    by_place = np.repeat(shared + first, lengths) - at
+    return by_place[order]
 
 
 def _laid_over(s: Segments, starts: np.ndarray, window: int, gram: int):
@@ -161,8 +240,8 @@ def _laid_over(s: Segments, starts: np.ndarray, window: int, gram: int):
     joins[:, reach + 2 :] = alike[:, reach + 2 :] & alike[:, reach + 1 : -1]
     head = there & ~joins[group]
     row, c = np.nonzero(head)
-    # One symbol for each (group, column, byte): windows of one anchor can only match in place.
-    key = (group[row] * columns + c) * 257 + np.where(alike[group[row], c], 256, cells[row, c])
+    # One symbol for each (column, group, byte): windows of one anchor can only match in place.
+    key = (c * len(starts) + group[row]) * 257 + np.where(alike[group[row], c], 256, cells[row, c])
     _, dense = np.unique(key, return_inverse=True)
     here = within[row, c]
     following = np.append(here[1:], 0)
@@ -194,9 +273,8 @@ def _index(window: int, gram: int):
 
     def sorted_groups(segments: Segments, starts: np.ndarray) -> Verdicts:
         symbols, weights, owner, windows = _laid_over(segments, starts, window, gram)
-        order = suffix_array(symbols)
-        shared = np.array(common_prefixes(symbols.tolist(), order), np.int64)
-        order = np.array(order, np.int64)
+        order = np.array(suffix_array(symbols), np.int64)
+        shared = common_prefixes(symbols, order)
         bytes_before = np.concatenate(([0], np.cumsum(weights)))
         # What is common ends with the segment, at the 0 behind it, whose weight is 0.
         stop = np.flatnonzero(symbols == 0)

@@ -8,10 +8,10 @@ of suffixes that share a window.
 The suffix array is built by linear grouping. Suffixes are grouped by their Lyndon prefix: from the
 highest group down, each suffix points to the nearest suffix before it in a lower group, and the
 suffixes pointed at move to new groups just above their own, by how many pointers they got. The
-array then fills from the left: each emitted suffix emits the ones that it is the next smaller suffix
-of, each at the front of its group. No prefix is renamed or sorted recursively. Highest groups that do
-not point at each other, and at no suffix twice, are taken in one step of arrays: of what they point
-at in one group, the suffixes that the higher ones point at come higher.
+array then fills from the left: the suffixes of a group come in the order of their next smaller
+suffixes, which all stand before them. No prefix is renamed or sorted recursively. Highest groups that
+do not point at each other, and at no suffix twice, are taken in one step of arrays: of what they point
+at in one group, the suffixes that the higher ones point at come higher. Groups also emit together.
 
 A shard's segments with one anchor are laid over each other at it. To the right of the windows'
 starts, columns in which they all agree need only one symbol, so the sorted string is short. Symbols
@@ -37,7 +37,7 @@ GRAM = 20
 #: Segments whose suffixes are sorted at once, where no group has more.
 SEGMENTS = 8_000
 #: How many steps of arrays may be small before the rest is taken group by group, and what is small.
-STEPS, LEAST = 32, 256
+STEPS, LEAST = 8, 256
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -45,26 +45,31 @@ def suffix_array(symbols: np.ndarray) -> list[int]:
     n = len(symbols)
     if not n:
         return []
-    # A group is an interval of `place`, and is known by where the interval begins.
-    ordered = np.argsort(symbols, kind="stable")
-    sorted_symbols = symbols[ordered]
+    # A group is an interval of `places`, and is known by where the interval begins.
+    places = np.argsort(symbols, kind="stable")
+    sorted_symbols = symbols[places]
     begins = np.flatnonzero(np.concatenate(([True], sorted_symbols[1:] != sorted_symbols[:-1])))
     widths = np.diff(np.append(begins, n))
-    group_of = np.empty(n, np.int64)
-    group_of[ordered] = np.repeat(begins, widths)
-    where = np.empty(n, np.int64)
-    where[ordered] = np.arange(n)
+    groups = np.empty(n, np.int64)
+    groups[places] = np.repeat(begins, widths)
+    wheres = np.empty(n, np.int64)
+    wheres[places] = np.arange(n)
     width = np.zeros(n, np.int64)
     width[begins] = widths
-    smaller = np.full(n, -1)
-    end = _together(ordered, where, group_of, width, smaller)
-    place, where, group = ordered.tolist(), where.tolist(), group_of.tolist()
-    width, smaller = width.tolist(), smaller.tolist()
+    lower = np.full(n, -1)
+    end = _together(places, wheres, groups, width, lower)
+    # What is left goes group by group, numbered in the string's order without the suffixes done.
+    left = np.sort(places[:end])
+    number = np.full(n + 1, -1)
+    number[left] = np.arange(end)
+    before = number[_pointed(left, end, groups, lower)].tolist()
+    place, where, group = number[places[:end]].tolist(), wheres[left].tolist(), groups[left].tolist()
+    width, smaller = width[:end].tolist(), [-1] * end
     while end:
         low = group[place[end - 1]]
         if end - low == 1:
             i = place[low]
-            j = i - 1
+            j = before[i]
             while j >= 0 and group[j] >= low:
                 j = smaller[j]
             smaller[i] = j
@@ -78,7 +83,7 @@ def suffix_array(symbols: np.ndarray) -> list[int]:
             continue
         pointed: dict[int, int] = {}
         for i in sorted(place[low:end]):
-            j = i - 1
+            j = before[i]
             while j >= 0 and group[j] >= low:
                 j = smaller[j]
             smaller[i] = j
@@ -102,34 +107,76 @@ def suffix_array(symbols: np.ndarray) -> list[int]:
                 for j in members:
                     group[j] = g + rest
                 width[g], width[g + rest] = rest, len(members)
-    # `width` is done with; `front` has the next free place of each group.
-    front = list(range(n))
-    out = [-1] * n
-    done = bytearray(n)
-    for k in range(-1, n):
-        j = (out[k] if k >= 0 else n) - 1
-        while j >= 0 and not done[j]:
-            g = group[j]
-            out[front[g]] = j
-            front[g] += 1
-            done[j] = 1
-            j = smaller[j]
+    places[: len(left)] = left[place]
+    groups[left] = group
+    return _emitted(places, groups).tolist()
+
+
+def _pointed(i: np.ndarray, end: int, group: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """For each suffix in i: the nearest before it, by the pointers of those done, that isn't done; -1: none."""
+    j = i - 1
+    over = np.flatnonzero((j >= 0) & (group[j] >= end))
+    while len(over):
+        j[over] = smaller[j[over]]
+        over = over[(j[over] >= 0) & (group[j[over]] >= end)]
+    return j
+
+
+def _emitted(place: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The suffixes in order: those of a group by the order of their next smaller suffixes.
+
+    Groups in a row whose next smaller suffixes all come before the first of them are taken at once."""
+    n = len(place)
+    # The next smaller suffix of j begins behind j's Lyndon prefix: the next that is in no higher group.
+    smaller = np.arange(1, n + 1)
+    lower = np.append(group, -1)
+    live = np.flatnonzero(lower[smaller] > group)
+    while len(live):
+        smaller[live] = smaller[smaller[live]]
+        live = live[lower[smaller[live]] > group[live]]
+    begins = np.flatnonzero(group[place] == np.arange(n))
+    needs = np.maximum.reduceat(lower[smaller[place]], begins)
+    borders = np.append(begins, n)
+    out, rank = np.empty(n, np.int64), np.full(n + 1, -1)
+    c = 0
+    while c < len(begins):
+        begin, d, reach = begins[c], c, 64
+        while d < len(begins):
+            late = np.flatnonzero(needs[d : d + reach] >= begin)
+            if len(late):
+                d += int(late[0])
+                break
+            d, reach = min(d + reach, len(begins)), 4 * reach
+        alone = d == c
+        d += alone
+        j = place[begin : borders[d]]
+        if alone:
+            # Suffixes whose next smaller one is in their own group come after it, in its order.
+            within = lower[smaller[j]] == begin
+            after = dict(zip(smaller[j[within]].tolist(), j[within].tolist(), strict=True))
+            outer = j[~within]
+            layer = outer[np.argsort(rank[smaller[outer]])].tolist()
+            j = []
+            while layer:
+                j += layer
+                layer = [after[i] for i in layer if i in after]
+        else:
+            j = j[np.lexsort((rank[smaller[j]], group[j]))]
+        out[begin : borders[d]] = j
+        rank[j] = np.arange(begin, borders[d])
+        c = d
     return out
 
 
 def _together(place: np.ndarray, where: np.ndarray, group: np.ndarray, width: np.ndarray, smaller: np.ndarray) -> int:
     """Takes highest groups in steps of many while that pays; all from the returned place on are done."""
     n = end = len(place)
-    small, reach = 0, 1 << 12
+    small, reach = 0, 1 << 10
     marked, latest = np.zeros(n, bool), np.empty(n, np.int64)
     while end and small < STEPS:
         begin = group[place[max(0, end - reach)]]
         i = place[begin:end]
-        j = i - 1
-        over = np.flatnonzero((j >= 0) & (group[j] >= end))
-        while len(over):
-            j[over] = smaller[j[over]]
-            over = over[(j[over] >= 0) & (group[j[over]] >= end)]
+        j = _pointed(i, end, group, smaller)
         at = np.where(j >= 0, group[j], -1)
         highest = np.maximum.accumulate(at[::-1])[::-1]
         k = np.arange(begin, end)
@@ -140,7 +187,7 @@ def _together(place: np.ndarray, where: np.ndarray, group: np.ndarray, width: np
         if low == begin and begin and len(i) < n // 2:
             reach *= 4
             continue
-        reach = max(1 << 12, 2 * (end - low))
+        reach = max(1 << 10, 2 * (end - low))
         i, j = i[low - begin :], j[low - begin :]
         by = group[i[j >= 0]]
         pointed = j[j >= 0]

@@ -74,6 +74,19 @@ def test_suffix_order():
             assert s[a : a + h].tolist() == s[b : b + h].tolist() and s[a + h : a + h + 1].tolist() != s[b + h : b + h + 1].tolist()
 
 
+@pytest.mark.parametrize("steps", [0, 3, 1000])
+def test_suffix_order_in_steps(steps, monkeypatch):
+    """Rows of rising symbols that end in 0, as a shard lays them out: by steps, by groups, by both."""
+    monkeypatch.setattr(suffix_array, "STEPS", steps)
+    r = np.random.default_rng(4)
+    for _ in range(150):
+        rows = [np.append(np.flatnonzero(r.random(9) < 0.7) * 3 + r.integers(1, 3), 0) for _ in range(r.integers(1, 12))]
+        s = np.concatenate(rows + [r.integers(0, 2, r.integers(0, 6))])
+        order = suffix_array.suffix_array(s)
+        assert order == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    assert suffix_array.suffix_array(np.zeros(0, np.int64)) == [] and suffix_array.common_prefixes([], []).tolist() == []
+
+
 def test_automaton_counts():
     r = np.random.default_rng(3)
     texts = [[bytes([97 + x]) for x in r.integers(0, 3, 40)] for _ in range(4)]

@@ -64,6 +64,27 @@ def test_toxic_words_are_found_and_clean_texts_left(spark, docs, labels):
     assert scores[0] > 0.9 and max(scores[1:]) < 0.3
 
 
+def test_insults_of_the_corpus_are_learned(spark):
+    """Words of no list, in a language of no list, told by how they begin; endings that no label has seen too."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(("ba", "ke", "lo", "mi", "nu", "sor", "té")) for _ in range(r.randint(2, 4)))
+    rows = []
+    for k in range(1200):
+        toxic, words = int(k % 8 == 0), [word() for _ in range(60)]
+        for at in r.sample(range(60), 3 if toxic else 0):
+            words[at] = r.choice(("zorbé", "vuxe")) + (word() if k < 1000 else "zz" + word())
+        rows.append((k, " ".join(words), toxic))
+    # Copies of a clean text with one word that only it has: copies count once, so the word tells nothing.
+    rows += [(2000 + k, "qwertz " + rows[1][1], 1) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    model = toxicity.fit(table, table.filter("doc_id < 1000 or doc_id >= 2000").selectExpr("doc_id", "toxic as label"))
+    new = rows[1000:1200]
+    assert [int(s >= 0.5) for s in model.scores([t for _, t, _ in new])] == [y for _, _, y in new]
+    assert sum(len(keys) for keys, _ in model.voters.stems.values()) == 2
+    again = toxicity.fit(table.repartition(3), table.filter("doc_id < 1000 or doc_id >= 2000").selectExpr("doc_id", "toxic as label"))
+    assert np.allclose(again.weights, model.weights)
+
+
 def test_label_model_reads_votes_not_labels(spark, docs, labels):
     """Labels that are wrong in three of ten rows change nothing much; voters that repeat one count once."""
     known = toxicity.training_labels(labels).withColumn("label", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) < 3, 1 - F.col("label")).otherwise(F.col("label")))

@@ -1,7 +1,10 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-A voter looks for one word of `LEXICON` (which has a list for each of four languages) or for a pattern
-of the text; it says toxic, clean or nothing, and reads no label. The label model is a mixture of two
+A voter looks for one word of `LEXICON` (which has a list for each of four languages), for a pattern
+of the text, or for a word or a beginning of words that the corpus itself insults with; it says toxic,
+clean or nothing, and reads no label. Which beginnings get a voter is found in the labelled rows: those
+that stand so often in toxic texts and so seldom in others that chance is no reason, each picked for the
+texts that none before it tells (see `_picked`). The label model is a mixture of two
 classes; within a class each voter's say depends on one other voter's, so voters that repeat one
 another count once. It estimates the voters' accuracies (their rates by class), the tree of the
 strongest correlations within the classes and the rates along it by EM, from the votes alone,
@@ -11,7 +14,8 @@ of a logistic regression over the votes and the text's shape, whose slope and of
 labels at the end; it scores every document without any label.
 
 Rows of the sample that are copies of one another (same least 3-word shingle) weigh one row together.
-Executors turn the sample's texts into votes; the driver gets some hundred bytes a row.
+Executors count beginnings and turn the sample's texts, which are written once, into votes; the driver
+gets some hundred bytes a row.
 
 Defined results: a null or empty text gets the score of a text without words; with fewer than `LEAST`
 labelled rows only the lexicon speaks, at fixed rates. Null labels are not learned from, and equal
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import hashing
 from tidelog.llm.common import column, filtered, held_out, sliced
 from tidelog.llm.labelled import sample_of
+from tidelog.llm.storage import Tables
 
 #: Words that insult, by language; fixed values.
 LEXICON = {
@@ -45,17 +50,36 @@ LEAST = 40
 SHRINK = 30
 PATTERNS = ("several words", "word on word", "shouting", "exclaiming", "calm", "no word")
 FIGURES = 5
+#: Bytes of the beginnings that may get a voter; words longer than all of them may as a whole.
+STEMS = (4, 5, 6, 7, 8)
+#: Half the G statistic that a beginning needs (chance gives 15 once in 20 million), the least share of toxic
+#: texts, and the bounds of those that are looked at and of those that get a voter.
+TELLS, PRECISION = 15.0, 0.7
+LOOKED_AT, PICKED = 1024, 64
 _SPLIT = np.arange(256, dtype=np.uint8)
 _SPLIT[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
 
 
-def _words(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(text numbers, word hashes, bounds of each text's words), by groups of texts."""
+def _spelt(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text numbers, sums of the bytes, word starts, word ends, bounds of each text's words), by groups of texts."""
     raw = [(t or "").lower().encode() for t in texts]
     for numbers in hashing.groups([len(r) for r in raw]):
         buffer = _SPLIT[np.frombuffer(b"\n".join(raw[k] for k in numbers) + b"\n", np.uint8)]
-        values, starts, _ = hashing.word_hashes(buffer)
-        yield numbers, values, np.searchsorted(starts, np.cumsum([len(raw[k]) + 1 for k in numbers]))
+        starts, ends = hashing.word_spans(buffer)
+        yield numbers, hashing.prefix(hashing.byte_values(buffer)), starts, ends, np.searchsorted(starts, np.cumsum([len(raw[k]) + 1 for k in numbers]))
+
+
+def _words(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(text numbers, word hashes, bounds of each text's words), by groups of texts."""
+    for numbers, sums, starts, ends, bound in _spelt(texts):
+        yield numbers, hashing.ranges(sums, starts, ends), bound
+
+
+def _keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, keys): the first `size` bytes of each word that has as many; for 0, all of those longer than any stem."""
+    of = np.flatnonzero(ends - starts >= size if size else ends - starts > STEMS[-1])
+    keys = hashing.ranges(sums, starts[of], starts[of] + size if size else ends[of])
+    return of, hashing.mixed(keys + np.uint64(size))
 
 
 def word_hash(word: str) -> np.uint64:
@@ -76,33 +100,56 @@ def shape(texts: list[str | None]) -> np.ndarray:
 
 
 class Voters:
-    def __init__(self, words: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, stems: list[tuple[int, int]] | None = None) -> None:
+        """Whole words by their hashes; (size, key) of beginnings, as `_keys` gives them."""
         self.words = np.unique(words)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.words & np.uint64(0xFFFF)] = True
+        self.stems = {}
+        for size in sorted({k for k, _ in stems or []}):
+            keys = np.unique(np.array([key for k, key in stems if k == size], np.uint64))
+            maybe = np.zeros(1 << 16, bool)
+            maybe[keys & np.uint64(0xFFFF)] = True
+            self.stems[size] = (keys, maybe)
+        #: Voters that a word calls up; patterns come after them.
+        self.lexical = len(self.words) + sum(len(keys) for keys, _ in self.stems.values())
 
     def __len__(self) -> int:
-        return len(self.words) + len(PATTERNS)
+        return self.lexical + len(PATTERNS)
+
+    def found(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, place of the word, voter) of all words that call up a voter, by groups of texts."""
+        for numbers, sums, starts, ends, bound in _spelt(texts):
+            held, first = [], 0
+            for size, (keys, maybe) in [(-1, (self.words, self.maybe)), *self.stems.items()]:
+                of, values = (np.arange(len(starts)), hashing.ranges(sums, starts, ends)) if size < 0 else _keys(sums, starts, ends, size)
+                few = np.flatnonzero(maybe[values & np.uint64(0xFFFF)])
+                if len(few) and len(keys):
+                    at = np.minimum(np.searchsorted(keys, values[few]), len(keys) - 1)
+                    here = keys[at] == values[few]
+                    held.append((of[few[here]], first + at[here]))
+                first += len(keys)
+            if held:
+                place = np.concatenate([p for p, _ in held])
+                yield np.array(numbers)[np.searchsorted(bound, place, side="right")], place, np.concatenate([v for _, v in held])
 
     def votes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(votes 1, 0 or -1; features) by text: the features are the votes, hits and shape."""
         s = shape(texts)
         out = np.zeros((len(texts), len(self)), np.int8)
-        hits, close = np.zeros(len(texts)), np.zeros(len(texts), bool)
-        for numbers, values, bound in _words(texts):
-            maybe = np.flatnonzero(self.maybe[values & np.uint64(0xFFFF)])
-            if not len(maybe) or not len(self.words):
-                continue
-            at = np.minimum(np.searchsorted(self.words, values[maybe]), len(self.words) - 1)
-            here = self.words[at] == values[maybe]
-            place = maybe[here]
-            text = np.array(numbers)[np.searchsorted(bound, place, side="right")]
-            out[text, at[here]] = 1
+        hits, close, several = np.zeros(len(texts)), np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        for text, place, voter in self.found(texts):
+            out[text, voter] = 1
+            # A word that calls up several voters is one hit.
+            place, one = np.unique(place, return_index=True)
+            text, voter = text[one], voter[one]
             hits += np.bincount(text, minlength=len(texts))
             near = (np.diff(place) <= 20) & (text[1:] == text[:-1])
             close[text[1:][near]] = True
-        w = len(self.words)
-        out[:, w] = (out[:, :w] == 1).sum(axis=1) > 1
+            called = np.unique(np.stack((text, voter)), axis=1)[0]
+            several |= np.bincount(called, minlength=len(texts)) > 1
+        w = self.lexical
+        out[:, w] = several
         out[:, w + 1] = close
         out[:, w + 2] = (s[:, 0] > 0.5) & (s[:, 2] > 1)
         out[:, w + 3] = s[:, 1] > 0.3
@@ -154,6 +201,9 @@ class LabelModel:
                     given = count[j, :, p, :].T + SHRINK * alone if p >= 0 else np.tile(alone, (3, 1))
                     rates.append(given / given.sum(axis=1, keepdims=True))
                 self.evidence[j] = np.log(rates[1]) - np.log(rates[0])
+                if j < words:
+                    # Whatever another voter says, a word found does not speak for clean.
+                    self.evidence[j][:, 2] = np.maximum(self.evidence[j][:, 2], 0)
                 logit += self.evidence[j][votes[:, p] + 1 if p >= 0 else np.zeros(n, int), votes[:, j] + 1]
             posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         self.posterior = posterior
@@ -212,13 +262,13 @@ class Model:
         if len(labels) < LEAST:
             # Fixed rates: a word is strong evidence, its absence is weak.
             self.weights = np.zeros(len(voters) + FIGURES + 1)
-            self.weights[: len(voters.words)] = 5.0
+            self.weights[: voters.lexical] = 5.0
             self.weights[-1] = -3.0
             return
         _, group, size = np.unique(copies, return_inverse=True, return_counts=True)
         weight = 1 / size[group]
         prior = (weight @ labels + 1) / (weight.sum() + 2)
-        self.label_model = LabelModel(votes, len(voters.words), weight, prior)
+        self.label_model = LabelModel(votes, voters.lexical, weight, prior)
         self.weights = _logistic(x, self.label_model.posterior, weight)
         slope, offset = _calibrated(x @ self.weights[:-1] + self.weights[-1], labels, weight)
         self.weights *= slope
@@ -243,19 +293,113 @@ def _least(texts: list[str | None]) -> list[int]:
     return out
 
 
+def _signal(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Half the G statistic of beginnings in so many toxic and clean texts, 0 below `PRECISION`; `share` of all texts are toxic."""
+    both = np.maximum(toxic + clean, 1e-9)
+    g = toxic * np.log(np.maximum(toxic, 1e-9) / (both * share)) + clean * np.log(np.maximum(clean, 1e-9) / (both * (1 - share)))
+    return np.where(toxic >= max(PRECISION, share) * both, g, 0.0)
+
+
+def _picked(row: np.ndarray, stem: np.ndarray, told: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> list[int]:
+    """The stems that get a voter, of those that stand in rows (`row`, `stem` side by side): again and again the one
+    that tells most of the rows which none has `told` yet."""
+    told, out = told.copy(), []
+    share = float(weight @ labels / weight.sum())
+    toxic, clean = weight * labels, weight * (1 - labels)
+    while len(out) < PICKED and len(row):
+        left = ~told[row]
+        at, of = row[left], stem[left]
+        size = int(stem.max()) + 1
+        signal = _signal(np.bincount(of, toxic[at], size), np.bincount(of, clean[at], size), share)
+        best = int(signal.argmax())
+        if signal[best] < TELLS:
+            break
+        out.append(best)
+        told[row[stem == best]] = True
+    return out
+
+
+def _stems(drawn: DataFrame, voters: Voters, bound: int) -> list[tuple[int, int]]:
+    """(size, key) of the beginnings of words that get a voter, from `drawn` (text, label, least)."""
+    rows = drawn.select("least", "label").limit(bound).collect()
+    labels = np.array([r.label for r in rows], float)
+    groups, at, size = np.unique(np.array([r.least for r in rows], np.int64), return_inverse=True, return_counts=True)
+    if len(rows) < LEAST or not 0 < labels.mean() < 1:
+        return []
+    weight = 1 / size
+    share = float(weight[at] @ labels / len(groups))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            label, least = np.asarray(b.column(1), float), np.asarray(b.column(2), np.int64)
+            k = np.minimum(np.searchsorted(groups, least), len(groups) - 1)
+            heavy = np.where(groups[k] == least, weight[k], 0.0)
+            for numbers, sums, starts, ends, bound in _spelt(b.column(0).to_pylist()):
+                text = np.array(numbers)[np.searchsorted(bound, np.arange(len(starts)), side="right")]
+                for bytes_ in (0, *STEMS):
+                    of, keys = _keys(sums, starts, ends, bytes_)
+                    order = np.lexsort((text[of], keys))
+                    keys, t = keys[order], text[of][order]
+                    new = np.ones(len(keys), bool)
+                    new[1:] = (keys[1:] != keys[:-1]) | (t[1:] != t[:-1])
+                    one, inverse = np.unique(keys[new], return_inverse=True)
+                    mass, said = heavy[t[new]], label[t[new]]
+                    toxic, clean = (np.bincount(inverse, mass * y, len(one)) for y in (said, 1 - said))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), bytes_, np.int32)), pa.array(one.view(np.int64)), pa.array(toxic), pa.array(clean)], ["size", "key", "toxic", "clean"])
+
+    # Sums of shares come in any order; rounded, they are the same in each run.
+    sums = [F.round(F.sum(c), 6).alias(c) for c in ("toxic", "clean")]
+    counts = drawn.select("text", "label", "least").mapInArrow(counted, "size int, key long, toxic double, clean double").groupBy("size", "key").agg(*sums)
+    both = F.col("toxic") + F.col("clean")
+    part = lambda c, s: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * s))).otherwise(0.0)
+    told = counts.filter(F.col("toxic") >= max(PRECISION, share) * both).withColumn("signal", F.round(part("toxic", share) + part("clean", 1 - share), 6)).filter(F.col("signal") >= TELLS)
+    looked_at = [(r.size_, r.key & 0xFFFF_FFFF_FFFF_FFFF) for r in told.orderBy(F.col("signal").desc(), "size", "key").limit(LOOKED_AT).select(F.col("size").alias("size_"), "key").collect()]
+    if not looked_at:
+        return []
+    seen = Voters(voters.words, looked_at)
+    # Voters have an order of their own.
+    named = [(k, int(key)) for k, (keys, _) in seen.stems.items() for key in keys]
+    fixed = len(seen.words)
+
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            texts = b.column(0).to_pylist()
+            where: list[list[np.ndarray]] = [[] for _ in texts]
+            for text, _, voter in seen.found(texts):
+                for t in np.unique(text):
+                    where[t].append(np.unique(voter[text == t]))
+            packed = [np.concatenate(v).astype("<i4").tobytes() if v else b"" for v in where]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(packed, pa.binary())], ["label", "least", "packed"])
+
+    rows = sorted((r.least, r.label, bytes(r.packed)) for r in drawn.select("text", "label", "least").mapInArrow(standing, "label int, least long, packed binary").limit(bound).collect())
+    held = [np.frombuffer(p, "<i4") for _, _, p in rows]
+    row, voter = np.repeat(np.arange(len(rows)), [len(h) for h in held]), np.concatenate(held)
+    told_ = np.zeros(len(rows), bool)
+    told_[row[voter < fixed]] = True
+    _, at, size = np.unique(np.array([g for g, _, _ in rows], np.int64), return_inverse=True, return_counts=True)
+    stems = voter >= fixed
+    return [named[k] for k in _picked(row[stems], voter[stems] - fixed, told_, np.array([y for _, y, _ in rows], float), 1 / size[at])]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from about `sample` rows of `labels` (doc_id, label) and their texts."""
-    voters = fixed_voters()
+    tables = Tables(docs.sparkSession)
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_least(b.column(0).to_pylist()), pa.int64())], ["text", "label", "least"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            texts = b.column(1).to_pylist()
-            votes, x = voters.votes(texts)
+            votes, x = voters.votes(b.column(0).to_pylist())
             packed = [v.tobytes() + f.astype("<f4").tobytes() for v, f in zip(votes, x[:, len(voters) :], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(_least(texts), pa.int64()), pa.array(packed, pa.binary())], ["label", "least", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(packed, pa.binary())], ["label", "least", "packed"])
 
-    drawn = sample_of(docs, labels, sample).mapInArrow(of, "label int, least long, packed binary").limit(2 * sample)
-    rows = sorted((r.least, r.label, bytes(r.packed)) for r in drawn.collect())
+    drawn = tables.store(sample_of(docs, labels, sample).select("text", "label").mapInArrow(copied, "text string, label int, least long"))
+    voters = fixed_voters()
+    voters = Voters(voters.words, _stems(drawn, voters, 2 * sample))
+    rows = sorted((r.least, r.label, bytes(r.packed)) for r in drawn.mapInArrow(of, "label int, least long, packed binary").limit(2 * sample).collect())
+    tables.clear()
     m = len(voters)
     votes = np.array([np.frombuffer(p, np.int8, m) for _, _, p in rows], np.int8).reshape(-1, m)
     figures = np.array([np.frombuffer(p, "<f4", offset=m) for _, _, p in rows], float).reshape(-1, FIGURES)

@@ -228,6 +228,30 @@ def test_components(spark):
     assert out == {(a, 1) for a in range(2, 61)} | {(100 + k, 100) for k in range(1, 30)} | {(500, 400), (450, 400)}
 
 
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_and_more_links(spark, monkeypatch, few):
+    """By passes and in one task alike: components, then more links that join some of them."""
+    from tidelog.llm import components as module
+    from tidelog.llm.storage import Tables
+
+    monkeypatch.setattr(module, "FEW", few)
+    r = np.random.default_rng(3)
+    one, two = (r.integers(-60, 60, (40, 2)).tolist() for _ in range(2))
+    tables = Tables(spark)
+    frame = lambda edges: spark.createDataFrame(edges, "u long, v long").repartition(3)
+    graph = module.merged(components(frame(one), tables), frame(two), tables)
+    want = module.least_reached(*np.array(one + two).T)
+    assert {tuple(x) for x in graph.collect()} == set(zip(*(x.tolist() for x in want), strict=True))
+    assert module.merged(graph, frame(two).filter("u > 1000"), tables) is graph
+    tables.clear()
+
+
+def test_few_links_take_few_stages(spark):
+    stages = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    edges, before = spark.createDataFrame([(a, a + 1) for a in range(300)], "u long, v long").repartition(4), stages()
+    assert components(edges).count() == 300 and stages() - before < 20
+
+
 def test_mixing_meets_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mixing.digest(docs).cache()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from tidelog.llm.storage import Tables
 #: 2 x `HOT_SHARE` nodes are, whatever the graph, so their table may be broadcast.
 HOT_SHARE = 128
 HOT_EDGES = 1000
+#: Links that one task may take at once, 2 MB of them; the passes are for more.
+FEW = 1 << 17
 
 
 def _with_least(ends: DataFrame, least: DataFrame, limit: int | None) -> DataFrame:
@@ -49,17 +55,57 @@ def _stars(edges: DataFrame) -> bool:
     return by_node.filter("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that each reaches), of all nodes but those least ones."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        # A root hangs on the least root that it has a link with; then all hang on their roots.
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
+
+def _at_once(edges: DataFrame, tables: Tables) -> DataFrame:
+    """The components of at most `FEW` links (u, v), in one task."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if held:
+            u, v = least_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return tables.store(edges.select("u", "v").coalesce(1).mapInArrow(of, "u long, v long"))
+
+
+def rooted(rows: DataFrame, name: str, graph: DataFrame, tables: Tables) -> DataFrame:
+    """`rows` with the `root` that `graph` has for their node `name`, null for none."""
+    at = graph.select(F.col("u").alias(name), F.col("v").alias("root"))
+    return rows.join(F.broadcast(at) if tables.count(graph) <= FEW else at, name, "left")
+
+
 def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(u, v) links -> (u, v) with v the least node that u reaches, for all u but those least ones.
 
-    Each pass is a few aggregations and joins over the links; none gathers a node's neighbours, and a
-    hot node's links are not brought together for the join. The passes end when the links are stars
-    around their least nodes.
+    At most `FEW` links are taken by one task. For more, each pass is a few aggregations and joins over
+    the links; none gathers a node's neighbours, and a hot node's links are not brought together for the
+    join. The passes end when the links are stars around their least nodes.
     """
     tables = tables or Tables(edges.sparkSession)
     down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = tables.store(down.distinct())
-    total = edges.count()
+    edges = tables.store(down)
+    total = tables.count(edges)
+    if total <= FEW:
+        return _at_once(edges, tables) if total else edges
+    edges = tables.store(edges.distinct())
+    total = tables.count(edges)
     limit = HOT_EDGES + total // HOT_SHARE if total > HOT_EDGES else None
     while total and not _stars(edges):
         edges = tables.store(_small(_large(edges, limit), limit).distinct())
@@ -68,12 +114,16 @@ def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
 
 def merged(graph: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
     """The components of `graph`, which `components` gave, and more links: only the roots meet anew."""
+    links = tables.store(links.select("u", "v"))
+    if not tables.count(links):
+        return graph
+    if tables.count(graph) + tables.count(links) <= FEW:
+        return _at_once(graph.unionByName(links), tables)
 
-    def rooted(df: DataFrame, name: str) -> DataFrame:
-        at = graph.select(F.col("u").alias(name), F.col("v").alias("_root"))
-        return df.join(at, name, "left").withColumn(name, F.coalesce("_root", name)).drop("_root")
+    def moved_to(df: DataFrame, name: str) -> DataFrame:
+        return rooted(df, name, graph, tables).withColumn(name, F.coalesce("root", name)).drop("root")
 
-    moved = components(rooted(rooted(links.select("u", "v"), "u"), "v"), tables).select(F.col("u").alias("v"), F.col("v").alias("_new"))
+    moved = components(moved_to(moved_to(links, "u"), "v"), tables).select(F.col("u").alias("v"), F.col("v").alias("_new"))
     if moved.isEmpty():
         return graph
     followed = graph.join(moved, "v", "left").select("u", F.coalesce("_new", "v").alias("v"))

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import hashing
 from tidelog.llm.common import column, fresh, sliced
-from tidelog.llm.components import components, merged
+from tidelog.llm.components import components, merged, rooted
 from tidelog.llm.storage import Tables
 
 WORDS = 4
@@ -161,8 +161,8 @@ def _similar() -> Column:
 
 def labelled(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) for each row of `docs`."""
-    rooted = _rooted(docs, words, small)
-    held = rooted.filter("n > 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root")
+    found = _rooted(docs, words, small)
+    held = found.filter("n > 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root")
     least = held.groupBy("root").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"))
     # Of components with more than a 128th of all rows there are at most 128.
     limit = 1000 + docs.count() // 128
@@ -171,7 +171,7 @@ def labelled(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFra
     rest = there.filter("found is null").join(least.filter(F.col("size") <= limit).select("root", F.col("id").alias("component_id")), "root")
     columns = ["doc_id", "text_hash", "n_shingles"]
     some = there.filter("found is not null").select(*columns, F.col("found.id").alias("component_id")).unionByName(rest.select(*columns, "component_id"))
-    alone = rooted.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = found.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(alone)
 
 
@@ -187,10 +187,12 @@ def _rooted(docs: DataFrame, words: int, small: int) -> DataFrame:
     held = some.select("doc_id", "text_hash", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"])
     work = Tables(docs.sparkSession)
     graph = _graph(classes, read, _same_id(held), words, small, work)
-    work.clear(graph)
-    placed = held.join(graph.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    placed = rooted(held, "node", graph, work)
     some = placed.select("doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
-    return some.unionByName(signed.filter("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root")))
+    out = tables.store(some.unionByName(signed.filter("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"))))
+    work.clear()
+    tables.clear(out)
+    return out
 
 
 def _same_id(held: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int, sm
     """The components of the classes, as `components` gives them, from `links` and all similar pairs."""
     banded = classes.select("node", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = tables.store(_sized(banded, sizes, BANDS * classes.count()))
+    buckets = tables.store(_sized(banded, sizes, BANDS * tables.count(classes)))
     weights = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
     nodes = tables.store(weights.join(classes.select("node", "n", "s1", "sketch", "doc_id", "text_hash"), "node"))
     same_row = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
@@ -221,19 +223,20 @@ def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int, sm
         pairs = asked.groupBy(F.col("node").alias("u"), F.col("c").alias("v")).agg(F.max("size").alias("size"), (F.max("size") > small).alias("more"))
         compared = tables.store(_compared(pairs, texts, words))
         graph = merged(graph, compared.filter(_similar()), tables)
-        mixed = tables.store(_mixed(placed, graph))
+        mixed = tables.store(_mixed(rooted(placed, "node", graph, tables)))
         if mixed.isEmpty():
             return graph
         few = mixed.filter(F.col("size") <= small).join(nodes.select("node", "sketch"), "node")
         pairs = tables.store(_across(few))
-        if not pairs.isEmpty():
+        if tables.count(pairs):
             graph = merged(graph, _compared(pairs, texts, words).filter(_similar()), tables)
         large = mixed.filter(F.col("size") > small)
         if large.isEmpty():
             return graph
-        alive = tables.store(_beyond(large, compared))
-        parts = tables.store(_parts(alive, large, compared))
-        buckets = tables.store(_sized(parts, _several(parts), parts.count()))
+        split = tables.store(_split(large, compared))
+        alive = tables.store(_beyond(split))
+        parts = tables.store(_parts(alive, split))
+        buckets = tables.store(_sized(parts, _several(parts), tables.count(parts)))
         if buckets.isEmpty():
             return graph
         small *= 2
@@ -266,10 +269,10 @@ def _centred(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     return _told(rows, centres).select("key", "node", "size", "n", "c", _apart().alias("apart"))
 
 
-def _mixed(placed: DataFrame, graph: DataFrame) -> DataFrame:
+def _mixed(placed: DataFrame) -> DataFrame:
     """The rows but centres of buckets that have other components than one beside the centre, with
-    their `root` and whether it isn't the centre's (`stray`)."""
-    rooted = placed.join(graph.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    their `root`, null where a node is its own, and whether it isn't the centre's (`stray`)."""
+    rooted = placed.withColumn("root", F.coalesce("root", "node"))
     centre = F.col("node") == F.col("c")
     roots = [f(F.when(~centre, F.col("root"))).alias(name) for f, name in ((F.min, "least"), (F.max, "most"))]
     of_centre = F.max(F.when(centre, F.col("root"))).alias("c_root")
@@ -292,7 +295,7 @@ def _split(large: DataFrame, compared: DataFrame) -> DataFrame:
     return of.join(compared.withColumnsRenamed({"u": "node", "v": "c"}), ["c", "node"]).join(least, "c")
 
 
-def _beyond(large: DataFrame, compared: DataFrame) -> DataFrame:
+def _beyond(split: DataFrame) -> DataFrame:
     """(c, s, node, root, chosen): each shingle s beyond the centre that nodes of several components
     have; `chosen` where it is one of those by which a stray must be found.
 
@@ -301,7 +304,7 @@ def _beyond(large: DataFrame, compared: DataFrame) -> DataFrame:
     # What is linked has 0.8 of the stray's shingles at least.
     low = F.greatest("lo", F.ceil(F.col("nu") * 4 / 5))
     t = F.greatest(F.lit(1), F.ceil((4 * (F.col("nu") + low) - 9 * F.col("both")) / 9))
-    spread = _split(large, compared).select("c", "node", "root", "stray", F.size("extra").alias("extras"), (F.size("extra") - t + 1).alias("enough"), F.explode("extra").alias("s"))
+    spread = split.select("c", "node", "root", "stray", F.size("extra").alias("extras"), (F.size("extra") - t + 1).alias("enough"), F.explode("extra").alias("s"))
     held = spread.groupBy("c", "s").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("c", "s", "held")
     alive = spread.join(held, ["c", "s"])
     own = Window.partitionBy("c", "node")
@@ -310,12 +313,12 @@ def _beyond(large: DataFrame, compared: DataFrame) -> DataFrame:
     return alive.select("c", "s", "node", "root", (F.col("stray") & (rank <= F.col("enough") - dead)).alias("chosen"))
 
 
-def _parts(alive: DataFrame, large: DataFrame, compared: DataFrame) -> DataFrame:
+def _parts(alive: DataFrame, split: DataFrame) -> DataFrame:
     """The nodes (key, node, root) of the buckets that large ones fall into."""
     chosen = alive.filter("chosen").select("c", "s").distinct()
     shared = alive.select("c", "s", "node", "root").join(chosen, ["c", "s"]).select(F.xxhash64("c", "s").alias("key"), "node", "root")
     most = F.when(F.col("stray"), F.floor(9 * F.col("both") / 4) - F.col("nu"))
-    sized = _split(large, compared).select("c", "node", "root", "nu", most.alias("most"))
+    sized = split.select("c", "node", "root", "nu", most.alias("most"))
     limits = sized.groupBy("c").agg(F.min("nu").alias("lo"), F.max("most").alias("hi")).filter("lo <= hi")
     small = sized.join(limits, "c").filter("nu <= hi or most >= lo").select(F.xxhash64("c", F.lit("small")).alias("key"), "node", "root")
     return shared.unionByName(small).distinct()
@@ -334,11 +337,11 @@ def digest(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFrame
 def dedup(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFrame:
     """The rows of `docs` without near-duplicates: one row of each component, all rows without words."""
     key, text, part, one = (fresh(docs, n) for n in ("_n_id", "_n_hash", "_n_part", "_n_one"))
-    rooted = _rooted(docs, words, small)
+    found = _rooted(docs, words, small)
     # A null id is a component's row only where it has no other.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("least")
-    some = rooted.filter("n > 0").groupBy("root").agg(least).select("least.doc_id", "least.text_hash", F.lit(False).alias("_k_empty"))
-    stay = some.unionByName(rooted.filter("n = 0").select("doc_id", "text_hash", F.lit(True).alias("_k_empty")).distinct()).withColumnsRenamed({"doc_id": "_k_id", "text_hash": "_k_hash"})
+    some = found.filter("n > 0").groupBy("root").agg(least).select("least.doc_id", "least.text_hash", F.lit(False).alias("_k_empty"))
+    stay = some.unionByName(found.filter("n = 0").select("doc_id", "text_hash", F.lit(True).alias("_k_empty")).distinct()).withColumnsRenamed({"doc_id": "_k_id", "text_hash": "_k_hash"})
     keyed = docs.withColumns({key: column(docs, "doc_id", "long"), text: F.xxhash64(column(docs, "text", "string"))})
     left = keyed.join(stay, F.col(key).eqNullSafe(F.col("_k_id")) & (F.col(text) == F.col("_k_hash")))
     # Equal rows become one; rows without words are each a part of their own.

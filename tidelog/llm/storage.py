@@ -33,6 +33,7 @@ class Tables:
         self.spark = spark
         self.paths: dict[int, str] = {}
         self.held: dict[int, DataFrame] = {}
+        self.counts: dict[int, int] = {}
 
     def store(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -41,8 +42,17 @@ class Tables:
         self.paths[id(out)], self.held[id(out)] = path, out
         return out
 
+    def count(self, df: DataFrame) -> int:
+        """The rows of one of these tables, counted once."""
+        if id(df) not in self.paths:
+            return df.count()
+        if id(df) not in self.counts:
+            self.counts[id(df)] = df.count()
+        return self.counts[id(df)]
+
     def clear(self, *keep: DataFrame) -> None:
         """Deletes all of these tables but `keep`; only where no lazy result reads them."""
         for k in [k for k in self.paths if all(k != id(df) for df in keep)]:
             dropped(self.spark, self.paths.pop(k))
+            self.counts.pop(k, None)
             del self.held[k]

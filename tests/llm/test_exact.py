@@ -193,6 +193,37 @@ def test_large_buckets_are_split_exactly(spark, monkeypatch, small, copy, hot_sh
     assert len({w[2] for w in want}) > 5
 
 
+@pytest.mark.parametrize("at_once", [0, near_dedup.AT_ONCE])
+def test_few_rows_of_split_buckets_go_without_exchanges(spark, monkeypatch, at_once):
+    """Later rounds of few rows are not dealt out to as many tasks as there are shuffle partitions; with
+    exchanges, hot buckets included, the result is the same."""
+    monkeypatch.setattr(near_dedup, "AT_ONCE", at_once)
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 0)
+    r = np.random.default_rng(9)
+    base, rows = [f"b{k}" for k in range(90)], []
+    for k in range(40):
+        t = list(base)
+        for at in r.choice(90, r.integers(0, 7), replace=False):
+            t[at] = f"m{at % 4}"
+        rows.append((k, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    context, group, before = spark.sparkContext, f"few-{at_once}", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup(group, group)
+    try:
+        found = listed(near_dedup.digest(docs, small=3))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == sorted(brute_components(rows, 4), key=str)
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(group)]
+    stages = [context.statusTracker().getStageInfo(s) for s in sorted({s for j in jobs if j for s in j.stageIds})]
+    tasks = sum(s.numTasks for s in stages if s and s.numCompletedTasks)
+    assert not at_once or tasks < 1000
+
+
 def test_odd_sketches_tell_similarity():
     r = np.random.default_rng(6)
     for shared, total in ((90, 100), (80, 100), (50, 100)):

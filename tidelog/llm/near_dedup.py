@@ -25,7 +25,9 @@ Every step is linear in a bucket's nodes: in 4 a node meets fewer than `SMALL` o
 (twice as many at each further level). Nothing gathers a bucket in one task: buckets are aggregates
 and joins, and what all rows of a bucket need (its centre's text, sketch and root) goes to as many
 partitions as they fill. They learn how many they are where they lie if they are more than a
-`HOT_SHARE`th of all rows; no more than `HOT_SHARE` buckets can be that large.
+`HOT_SHARE`th of all rows; no more than `HOT_SHARE` buckets can be that large. Only tables of at most
+`AT_ONCE` rows of numbers, whatever the corpus, are taken by one task or broadcast: dealing them out costs
+more than the work. Texts are compared in parallel always.
 
 Defined results: a text without words is empty and linked with nothing; rows with one doc_id count as
 one document for links; ids may be any 64-bit numbers. A null doc_id is no one's component_id: the
@@ -61,6 +63,10 @@ COPY = 256
 #: A bucket with more than its share of all rows, `1 / HOT_SHARE` of them, is a hot one.
 HOT_SHARE = 1024
 HOT_ROWS = 1000
+#: Rows of some 64-bit numbers that one task may take at once, and pairs that it may look at; more go by
+#: exchanges. What one task holds needs no exchange to be grouped or joined.
+AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 24
 
 _random = np.random.default_rng(7_062_024)
 _FLIP = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -128,8 +134,23 @@ def _apart() -> Column:
     return sum(bits[1:], bits[0])
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Pairs (u, v, size, more) of nodes, v the one that up to `size` others have too -> (u, v, nu, nv,
+def _tasks(rows: int, share: int) -> int:
+    """The most tasks that `rows` rows are worth: one for each `share` of them, and a few."""
+    return 16 + rows // share
+
+
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most `rows` rows, in one task if they are few."""
+    return df.coalesce(1) if rows <= AT_ONCE else df
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most `rows` rows, sent to where the other side of its join lies if they are few."""
+    return F.broadcast(df) if rows <= AT_ONCE else df
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, count: int) -> DataFrame:
+    """`count` pairs (u, v, size, more) of nodes, v the one that up to `size` others have too -> (u, v, nu, nv,
     both, extra): the sizes of their sets and of the intersection, and with `more` the shingles that
     u has and v lacks."""
 
@@ -146,12 +167,13 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             sizes = [pa.array([len(r[k]) for r in rows], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(both, pa.int64()), extra], ["u", "v", "nu", "nv", "both", "extra"])
 
-    copies = pairs.withColumn("copies", 1 + F.floor(F.col("size") / COPY).cast("int")).withColumn("salt", F.pmod(F.xxhash64("u"), F.col("copies")).cast("int"))
+    copies = _near(pairs, count).withColumn("copies", 1 + F.floor(F.col("size") / COPY).cast("int")).withColumn("salt", F.pmod(F.xxhash64("u"), F.col("copies")).cast("int"))
     # Only the texts of these nodes are moved; a centre's text goes to each of its salts.
-    first = copies.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    first = texts.select(F.col("node").alias("u"), F.col("text").alias("a")).join(_sent(copies, count), "u")
     salts = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
-    second = copies.groupBy("v").agg(F.max("copies").alias("copies")).join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("v", salts, "b")
-    met = first.join(second, ["v", "salt"]).select("u", "v", "more", "a", "b")
+    centres = copies.groupBy("v").agg(F.max("copies").alias("copies"))
+    second = texts.select(F.col("node").alias("v"), F.col("text").alias("b")).join(_sent(centres, count), "v").select("v", salts, "b")
+    met = first.join(second, ["v", "salt"]).select("u", "v", "more", "a", "b").coalesce(_tasks(count, 1024))
     return met.mapInArrow(of, "u long, v long, nu long, nv long, both long, extra array<long>")
 
 
@@ -165,14 +187,15 @@ def labelled(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFra
     held = found.filter("n > 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root")
     least = held.groupBy("root").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"))
     # Of components with more than a 128th of all rows there are at most 128.
-    limit = 1000 + docs.count() // 128
+    rows = docs.count()
+    limit = 1000 + rows // 128
     large = F.broadcast(least.filter(F.col("size") > limit).select("root", F.struct("id").alias("found")))
     there = held.join(large, "root", "left")
     rest = there.filter("found is null").join(least.filter(F.col("size") <= limit).select("root", F.col("id").alias("component_id")), "root")
     columns = ["doc_id", "text_hash", "n_shingles"]
     some = there.filter("found is not null").select(*columns, F.col("found.id").alias("component_id")).unionByName(rest.select(*columns, "component_id"))
     alone = found.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.unionByName(alone)
+    return some.unionByName(alone).coalesce(_tasks(rows, 4096))
 
 
 def _rooted(docs: DataFrame, words: int, small: int) -> DataFrame:
@@ -181,15 +204,16 @@ def _rooted(docs: DataFrame, words: int, small: int) -> DataFrame:
     read = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     signed = tables.store(read.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lambda batches: _signed(batches, words), _SIGNED))
     some = signed.filter("n > 0")
+    tasks = _tasks(tables.count(signed), 4096)
     # The number of a class is any; it is written before it is used.
     grouped = some.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = tables.store(grouped.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "row.doc_id", "row.text_hash", "bands", "sketch"))
+    classes = tables.store(grouped.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "row.doc_id", "row.text_hash", "bands", "sketch"), tasks)
     held = some.select("doc_id", "text_hash", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"])
     work = Tables(docs.sparkSession)
     graph = _graph(classes, read, _same_id(held), words, small, work)
     placed = rooted(held, "node", graph, work)
     some = placed.select("doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
-    out = tables.store(some.unionByName(signed.filter("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"))))
+    out = tables.store(some.unionByName(signed.filter("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"))), tasks)
     work.clear()
     tables.clear(out)
     return out
@@ -205,39 +229,49 @@ def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int, sm
     """The components of the classes, as `components` gives them, from `links` and all similar pairs."""
     banded = classes.select("node", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = tables.store(_sized(banded, sizes, BANDS * tables.count(classes)))
-    weights = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
-    nodes = tables.store(weights.join(classes.select("node", "n", "s1", "sketch", "doc_id", "text_hash"), "node"))
+    total = tables.count(classes)
+    buckets = tables.store(_sized(banded, sizes, BANDS * total), _tasks(BANDS * total, 1 << 16))
+    rows = tables.count(buckets)
+    weights = _near(buckets, rows).groupBy("node").agg(F.sum("size").alias("weight"))
+    nodes = tables.store(classes.select("node", "n", "s1", "sketch", "doc_id", "text_hash").join(_sent(weights, rows), "node"), _tasks(total, 4096))
+    held = tables.count(nodes)
     same_row = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
     all_texts = read.select(F.col("doc_id").alias("id_"), "text", F.xxhash64("text").alias("hash_"))
-    found = nodes.select("node", F.col("doc_id").alias("id"), "text_hash").join(all_texts, same_row)
+    found = all_texts.join(_sent(nodes.select("node", F.col("doc_id").alias("id"), "text_hash"), held), same_row)
     # Equal rows have one text; any of them will do.
     one = F.row_number().over(Window.partitionBy("id_", "hash_").orderBy("node"))
-    texts = tables.store(found.withColumn("one", one).filter("one = 1").select("node", "text"))
+    texts = tables.store(found.withColumn("one", one).filter("one = 1").select("node", "text"), _tasks(held, 1024))
     nodes = nodes.select("node", "weight", "n", "s1", "sketch")
     graph = components(links, tables)
 
     while True:
-        placed = tables.store(_centred(buckets, nodes))
-        asked = placed.filter(F.col("node") != F.col("c")).filter((F.col("apart") <= MOST_BITS) | (F.col("size") > small))
-        pairs = asked.groupBy(F.col("node").alias("u"), F.col("c").alias("v")).agg(F.max("size").alias("size"), (F.max("size") > small).alias("more"))
-        compared = tables.store(_compared(pairs, texts, words))
+        rows = tables.count(buckets)
+        placed = tables.store(_centred(buckets, nodes, rows))
+        asked = _near(placed, rows).filter(F.col("node") != F.col("c")).filter((F.col("apart") <= MOST_BITS) | (F.col("size") > small))
+        pairs = tables.store(asked.groupBy(F.col("node").alias("u"), F.col("c").alias("v")).agg(F.max("size").alias("size"), (F.max("size") > small).alias("more")))
+        compared = tables.store(_compared(pairs, texts, words, tables.count(pairs)))
         graph = merged(graph, compared.filter(_similar()), tables)
-        mixed = tables.store(_mixed(rooted(placed, "node", graph, tables)))
-        if mixed.isEmpty():
+        mixed = tables.store(_mixed(rooted(_near(placed, rows), "node", graph, tables)))
+        rows = tables.count(mixed)
+        if not rows:
             return graph
-        few = mixed.filter(F.col("size") <= small).join(nodes.select("node", "sketch"), "node")
-        pairs = tables.store(_across(few))
+        few = _near(mixed.filter(F.col("size") <= small), rows).join(_near(nodes, held), "node")
+        pairs = tables.store(_across(few if rows * small <= PAIRS_AT_ONCE else mixed.filter(F.col("size") <= small).join(nodes, "node")))
         if tables.count(pairs):
-            graph = merged(graph, _compared(pairs, texts, words).filter(_similar()), tables)
+            graph = merged(graph, _compared(pairs, texts, words, tables.count(pairs)).filter(_similar()), tables)
         large = mixed.filter(F.col("size") > small)
         if large.isEmpty():
             return graph
-        split = tables.store(_split(large, compared))
-        alive = tables.store(_beyond(split))
+        split = tables.store(_split(large, compared, rows))
+        # What follows goes by the shingles beyond the centres.
+        rows = tables.count(split) + (split.agg(F.sum(F.size("extra"))).first()[0] or 0)
+        split = _near(split, rows)
+        alive = _near(tables.store(_beyond(split)), rows)
         parts = tables.store(_parts(alive, split))
-        buckets = tables.store(_sized(parts, _several(parts), tables.count(parts)))
-        if buckets.isEmpty():
+        total = tables.count(parts)
+        parts = _near(parts, total)
+        buckets = tables.store(_sized(parts, _several(parts), total))
+        if not tables.count(buckets):
             return graph
         small *= 2
 
@@ -245,7 +279,7 @@ def _graph(classes: DataFrame, read: DataFrame, links: DataFrame, words: int, sm
 def _sized(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
     """The rows (key, node, size) of the `total` ones of `rows` whose keys are in `sizes` (key, size)."""
     limit = HOT_ROWS + total // HOT_SHARE
-    if total <= limit:
+    if total <= max(limit, AT_ONCE):
         return rows.join(sizes, "key").select("key", "node", "size")
     hot = F.broadcast(sizes.filter(F.col("size") > limit).withColumnRenamed("size", "hot_size"))
     there = rows.join(hot, "key", "left")
@@ -261,11 +295,12 @@ def _told(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return salted.join(facts.withColumn("salt", salts).drop("size"), ["key", "salt"]).drop("salt")
 
 
-def _centred(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, size, n, c, apart): each node of a bucket, its centre, and how far their sketches differ."""
-    rows = buckets.join(nodes, "node")
-    centres = rows.groupBy("key").agg(F.max_by("node", F.struct("weight", "s1", "node")).alias("c"), F.max("size").alias("size"))
-    centres = centres.join(nodes.select(F.col("node").alias("c"), F.col("sketch").alias("other")), "c")
+def _centred(buckets: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """(key, node, size, n, c, apart): each of the `count` rows of buckets, its centre, and how far their sketches differ."""
+    rows = _near(nodes.join(_sent(buckets, count), "node"), count)
+    best = F.max_by(F.struct("node", "sketch"), F.struct("weight", "s1", "node"))
+    centres = rows.groupBy("key").agg(best.alias("best"), F.max("size").alias("size"))
+    centres = centres.select("key", "size", F.col("best.node").alias("c"), F.col("best.sketch").alias("other"))
     return _told(rows, centres).select("key", "node", "size", "n", "c", _apart().alias("apart"))
 
 
@@ -288,11 +323,11 @@ def _across(few: DataFrame) -> DataFrame:
     return met.select("u", "v").distinct().select("u", "v", F.lit(1).alias("size"), F.lit(False).alias("more"))
 
 
-def _split(large: DataFrame, compared: DataFrame) -> DataFrame:
+def _split(large: DataFrame, compared: DataFrame, count: int) -> DataFrame:
     """Each node of large buckets with its centre, and how they compare: (c, node, root, stray, nu, both, extra, lo)."""
-    of = large.select("c", "node", "root", "stray").distinct()
-    least = large.groupBy("c").agg(F.min("n").alias("lo"))
-    return of.join(compared.withColumnsRenamed({"u": "node", "v": "c"}), ["c", "node"]).join(least, "c")
+    large = _near(large, count)
+    of = large.select("c", "node", "root", "stray").distinct().join(large.groupBy("c").agg(F.min("n").alias("lo")), "c")
+    return compared.withColumnsRenamed({"u": "node", "v": "c"}).join(_sent(of, count), ["c", "node"])
 
 
 def _beyond(split: DataFrame) -> DataFrame:

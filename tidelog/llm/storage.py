@@ -35,7 +35,9 @@ class Tables:
         self.held: dict[int, DataFrame] = {}
         self.counts: dict[int, int] = {}
 
-    def store(self, df: DataFrame) -> DataFrame:
+    def store(self, df: DataFrame, tasks: int | None = None) -> DataFrame:
+        """`df`, written by at most so many tasks: few rows in many partitions cost more to start than to write."""
+        df = df.coalesce(tasks) if tasks else df
         path = f"{shared_folder(self.spark)}/{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.parquet(path)
